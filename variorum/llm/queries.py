@@ -73,7 +73,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         placed = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.array_position(F.array(*map(F.lit, pii.TAGGED)), x["kind"]).alias("place"), x["end"].alias("end"), x["kind"].alias("kind"))))
         return F.array_join(F.transform(placed, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
-    counts = [F.size(F.filter(base, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    counts = [F.expr(f"size(filter(spans, x -> x.base and x.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
