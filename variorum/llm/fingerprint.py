@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from variorum.runtime import parallelism
+
 SAMPLES = 40
 SPAN = 1024
 BROADCAST_ROWS = 100_000
@@ -42,18 +44,26 @@ def _samples(term: str, ln_weight: str, n: int) -> list[Column]:
     return out
 
 
+def _hashed_words(text: Column) -> Column:
+    words = F.split(F.translate(F.lower(text), "\t\n\x0b\f\r", "     "), " ")
+    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
+
+
+def _signed(terms: DataFrame, keys: list[str], samples: int) -> DataFrame:
+    """(keys, signature, value) of (keys, term): 4 hex digits per sample, and the greatest term."""
+    counted = terms.groupBy(*keys, "term").agg(F.count("*").alias("w")).withColumn("ln_w", F.log(F.col("w").cast("double")))
+    least = counted.groupBy(*keys).agg(F.max("term").alias("value"), *(F.min(x).alias(f"s{k}") for k, x in enumerate(_samples("term", "ln_w", samples))))
+    digits = [F.lpad(F.lower(F.hex(F.col(f"s{k}").bitwiseAND(0xFFFF))), 4, "0") for k in range(samples)]
+    return least.select(*keys, F.concat(*digits).alias("signature"), "value")
+
+
 def signatures(texts: DataFrame, keys: list[str], text_col: str, samples: int = SAMPLES) -> DataFrame:
-    """(keys, signature): 4 hex digits per sample of each text's words, weighted by how often they occur.
+    """(keys, signature) of each text's words, weighted by how often they occur.
 
     keys tell the rows of texts apart. Words are runs of anything but ASCII white
     space, in lower case; a text without words has no row.
     """
-    words = F.transform(F.filter(F.split(F.translate(F.lower(F.col(text_col)), "\t\n\x0b\f\r", "     "), " "), lambda w: w != ""), lambda w: F.xxhash64(w))
-    terms = texts.select(*keys, F.explode(words).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("w"))
-    terms = terms.withColumn("ln_w", F.log(F.col("w").cast("double")))
-    least = terms.groupBy(*keys).agg(*(F.min(x).alias(f"s{k}") for k, x in enumerate(_samples("term", "ln_w", samples))))
-    digits = [F.lpad(F.lower(F.hex(F.col(f"s{k}").bitwiseAND(0xFFFF))), 4, "0") for k in range(samples)]
-    return least.select(*keys, F.concat(*digits).alias("signature"))
+    return _signed(texts.select(*keys, F.explode(_hashed_words(F.col(text_col))).alias("term")), keys, samples).drop("value")
 
 
 def likeness(a: str, b: str, samples: int = SAMPLES) -> Column:
@@ -76,12 +86,13 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     order = Window.orderBy(F.col("span").desc())
     heads = heads.withColumn("before", F.lag("span").over(order)).withColumn("last", F.min("span").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     heads = heads.select("span", "head", F.coalesce("before", "last").alias("before"))
-    if heads.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    ranges = heads.count()
+    if ranges <= BROADCAST_ROWS:
         heads = F.broadcast(heads)
     firsts = own.join(heads.withColumnRenamed("span", "of"), (F.col("span") == F.col("of")) & F.col("id").eqNullSafe(F.col("head")))
     firsts = firsts.groupBy("before").agg(F.min("text").alias("text"))
     ends = firsts.select(F.lit(None).cast("long").alias("id"), "text", F.col("before").alias("span"), F.lit(True).alias("end"))
-    rows = own.withColumn("end", F.lit(False)).unionByName(ends)
+    rows = own.withColumn("end", F.lit(False)).unionByName(ends).repartition(max(parallelism(docs.sparkSession), ranges // 2), "span")
     within = Window.partitionBy("span").orderBy(F.col("end"), F.col("id").desc_nulls_last(), F.col("text"))
     return rows.select("span", "end", "id", "text", F.row_number().over(within).alias("place"), F.lead("text").over(within).alias("next_text"))
 
@@ -108,10 +119,24 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))"), F.coalesce(F.substring("next_text", F.lit(1), third), F.lit(""))))
-    both = rows.select("span", "place", F.explode(F.when(F.col("end"), F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("body")))).otherwise(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("body")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("body"))))).alias("x")).select("span", "place", "x.*")
-    signed = signatures(both, ["span", "place", "which"], "body", samples)
-    signed = signed.groupBy("span", "place").agg(F.max(F.when(F.col("which") == 0, F.col("signature"))).alias("own"), F.max(F.when(F.col("which") == 1, F.col("signature"))).alias("other"))
-    meta = rows.select("span", "place", "end", "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
-    joined = meta.join(signed, ["span", "place"], "left").withColumns({"own": F.coalesce("own", F.lit("")), "other": F.coalesce("other", F.lit(""))})
-    joined = joined.withColumn("following", F.lead("own").over(Window.partitionBy("span").orderBy("place"))).filter(~F.col("end"))
+    # a document's words and figures leave its texts behind together, so that these are dealt out once
+    sha = F.sha2("edited", 256)
+    figures = [F.col("id"), F.col("n_chars"), *(F.conv(F.substring(sha, 8 * i + 1, 8), 16, 10).cast("long") for i in range(8))]
+    parts = F.array(*(F.struct(F.lit(i).alias("which"), x.alias("terms")) for i, x in enumerate([_hashed_words(F.col("text")), _hashed_words(F.col("edited")), *map(F.array, figures)])))
+    kept = F.when(F.col("end"), F.slice(parts, 1, 1)).otherwise(parts)
+    terms = rows.select("span", "place", F.explode(kept).alias("x")).select("span", "place", "x.which", F.explode("x.terms").alias("term"))
+    signed = _signed(terms, ["span", "place", "which"], samples)
+
+    def of(which: int, column: str) -> Column:
+        return F.max(F.when(F.col("which") == which, F.col(column)))
+
+    joined = signed.groupBy("span", "place").agg(
+        F.coalesce(of(0, "signature"), F.lit("")).alias("own"),
+        F.coalesce(of(1, "signature"), F.lit("")).alias("other"),
+        of(2, "value").alias("id"),
+        of(3, "value").alias("n_chars"),
+        F.concat(*(F.lpad(F.lower(F.hex(of(4 + i, "value"))), 8, "0") for i in range(8))).alias("edited_sha256"),
+    )
+    following = F.coalesce(F.lead("own").over(Window.partitionBy("span").orderBy("place")), F.lit(""))
+    joined = joined.withColumn("following", following).filter("n_chars is not null")
     return joined.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", F.col("own").alias("fingerprint"), F.col("other").alias("edited_fingerprint"), likeness("own", "other", samples).alias("near_edited"), likeness("own", "following", samples).alias("near_next"))
