@@ -24,7 +24,7 @@ from variorum.runtime import cut
 _U = np.uint64
 _EMPTY = _U(0xFFFFFFFFFFFFFFFF)
 _LOW = _U(0xFFFFFFFF)
-BLOCK_MEMBERS = 64
+BLOCK_MEMBERS = 512
 
 
 def fast_sketch(x: np.ndarray, bins: int, salts: np.ndarray) -> np.ndarray:
@@ -101,14 +101,77 @@ def _verifier(num: int, den: int):
     return run
 
 
+def _common(query: list[np.ndarray], member: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """The sizes of all intersections, by products of membership matrices a slice of shingles at a time."""
+    sizes = [x.size for x in (*query, *member)]
+    names, code = np.unique(np.concatenate([*query, *member]), return_inverse=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    often = np.bincount(code, minlength=names.size)[code] > 1
+    row, code = row[often], code[often]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    out = np.zeros((len(query), len(member)), np.float32)
+    for low in range(0, names.size, columns):
+        i, j = np.searchsorted(code, [low, low + columns])
+        if i < j:
+            cells = np.zeros((len(sizes), columns), np.float32)
+            cells[row[i:j], code[i:j] - low] = 1
+            out += cells[: len(query)] @ cells[len(query) :].T
+    return out
+
+
+def _block_links(rows: list[tuple[int, int, bool, np.ndarray]], num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Links between different components of a block's queries and members, enough to join them."""
+    query, member = [x for x in rows if x[2]], [x for x in rows if not x[2]]
+    if not query or not member:
+        return
+    n_q, n_m = (np.array([x[3].size for x in part], float) for part in (query, member))
+    both = _common([x[3] for x in query], [x[3] for x in member])
+    near = (den * both >= num * (n_q[:, None] + n_m[None, :] - both)) & (both > 0)
+    near &= np.array([x[1] for x in query])[:, None] != np.array([x[1] for x in member])[None, :]
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    for i, j in zip(*np.nonzero(near), strict=True):
+        a, b = root(query[i][1]), root(member[j][1])
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            yield query[i][0], member[j][0]
+
+
+def _block_linker(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, found = None, [], []
+
+        def flush() -> None:
+            found.extend(_block_links(rows, num, den))
+            rows.clear()
+
+        for batch in batches:
+            keys = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
+            for at, rep, own, asks, shingles in zip(keys, *(batch.column(i).to_pylist() for i in range(3, 7)), strict=True):
+                if at != key:
+                    flush()
+                    key = at
+                rows.append((rep, own, asks, np.frombuffer(shingles, _U)))
+        flush()
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: tuple[int, int] = (4, 5), bands: int = 64, rows: int = 7) -> DataFrame:
     """(id_col, n_shingles, component_id, kept): documents linked by a Jaccard similarity of num/den or more.
 
     Words are lower-cased in A-Z. Equal shingle sets are one class from the start,
     so copies, however many, cost one sketch entry. A class meets the smallest
-    member of each bucket it is in; where a bucket holds several components after
-    that, its other members meet in blocks. Each link is confirmed on the full
-    sets. A pair at the threshold has a chance of about (1 - 0.8**rows)**bands,
+    member of each bucket it is in, its leader; members of a leader's buckets that
+    are not in its component then meet all its other members, in blocks that give
+    back only what joins components. Each link is confirmed on the full sets. A pair at the threshold has a chance of about (1 - 0.8**rows)**bands,
     3e-7, to share no bucket.
 
     Null or empty texts have no shingles and no links. Rows with a null id keep
@@ -140,16 +203,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = cut(confirmed(met.filter(similar_sizes("n", "leader_n")).select(F.col("leader").alias("u"), F.col("rep").alias("v"))))
     labels = cut(components(links))
-    # where a bucket's members lie in several components, those that aren't its leader meet one another
-    of = F.coalesce("component", "rep")
-    named = met.select("bucket", "rep", "n", "leader").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", "leader", of.alias("own"))
-    mixed = named.groupBy("bucket").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("size")).filter("low <> high").select("bucket", "size")
-    rest = named.join(mixed, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rest = rest.select("bucket", "rep", "n", "own", F.explode(F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, block) as i, greatest(x, block) as j, block as block))")).alias("at")).select("bucket", "rep", "n", "own", "at.*")
-    rest = cut(rest)
-    left, right = (rest.select("bucket", "i", "j", *(F.col(c).alias(f"{s}_{c}") for c in ("rep", "n", "own", "block"))) for s in "lr")
-    more = left.join(right, ["bucket", "i", "j"]).filter("l_rep < r_rep and l_own <> r_own and (i = j or l_block <> r_block)").filter(similar_sizes("l_n", "r_n"))
-    links = links.unionByName(confirmed(more.select(F.col("l_rep").alias("u"), F.col("r_rep").alias("v"))))
+    # the members of all buckets that a class leads are its family; where they lie in several
+    # components, those outside the leader's meet the whole family, in blocks
+    own, first = F.coalesce("component", "rep"), F.coalesce("component", "leader")
+    family = met.select("leader", "rep").distinct().join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("leader", "rep", own.alias("own"))
+    family = family.join(labels.withColumnRenamed("node", "leader"), "leader", "left").select("leader", "rep", "own", (F.col("own") != first).alias("out"))
+    mixed = family.groupBy("leader").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.sum(F.col("out").cast("long")).alias("outs"), F.count("*").alias("size")).filter("low <> high")
+    mixed = mixed.select("leader", F.ceil(F.col("outs") / BLOCK_MEMBERS).cast("int").alias("asking"), F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int").alias("asked"))
+    rest = family.join(mixed, "leader").withColumns({"i": F.pmod(F.xxhash64("rep", F.lit(2)), F.col("asking")).cast("int"), "j": F.pmod(F.xxhash64("rep", F.lit(1)), F.col("asked")).cast("int")})
+    rest = rest.join(sets.toDF("rep", "shingles"), "rep")
+    places = F.expr("transform(sequence(0, asking - 1), x -> struct(x as i, j as j, false as asks))")
+    asking = F.expr("if(out, transform(sequence(0, asked - 1), x -> struct(i as i, x as j, true as asks)), array())")
+    rest = rest.select("leader", "rep", "own", "shingles", F.explode(F.concat(places, asking)).alias("at")).select("leader", "at.i", "at.j", "rep", "own", "at.asks", "shingles")
+    rest = rest.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
+    links = links.unionByName(rest.mapInArrow(_block_linker(num, den), "u long, v long"))
     labels = cut(components(links))
     found = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("id", "key_a", "key_b", F.coalesce("component", "rep").alias("component_id")).distinct()
     out = sketched.select("id", "n_shingles", "key_a", "key_b").join(found, ["id", "key_a", "key_b"], "left")
