@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 GROUP_DOCS = 2048
 SLIVER = 16
-_CACHE_WORDS = 200_000
+_CACHE_WORDS = 600_000
+_TOGETHER = 128
+#: A control character that is one token by itself stands between words that are encoded together.
+_MARK = b"\x1f"
 _LONG = 1 << 22
 
 
@@ -110,6 +113,8 @@ class WordTokenizer:
 
         self.encoder = Tokenizer.from_file(path)
         self.dtype = np.uint16 if self.encoder.get_vocab_size() <= 1 << 16 else np.uint32
+        alone = self.encoder.encode(_MARK.decode(), add_special_tokens=False).ids
+        self.mark = alone[0] if len(alone) == 1 else None
         self.clear()
 
     def clear(self) -> None:
@@ -121,17 +126,29 @@ class WordTokenizer:
         number = self.number
         fresh = [w for w in dict.fromkeys(words) if w not in number]
         if fresh:
-            got = [x.ids for x in self.encoder.encode_batch_fast([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)]
+            got, lens = self._encode_apart(fresh)
             number.update(zip(fresh, range(len(number), len(number) + len(fresh)), strict=True))
-            ends = self.starts[-1] + np.cumsum([len(x) for x in got])
-            self.starts = np.concatenate([self.starts, ends])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), self.dtype)])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lens)])
+            self.ids = np.concatenate([self.ids, got])
         at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
         begin, lens = self.starts[at], self.starts[at + 1] - self.starts[at]
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(words) else 0
         return self.ids[np.repeat(begin - ends + lens, lens) + np.arange(total)], ends
 
+    def _encode_apart(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words one after the other, and how many each has."""
+        odd = [k for k, w in enumerate(words) if _MARK in w]
+        if self.mark is None or odd:
+            got = [x.ids for x in self.encoder.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+            return np.fromiter((i for x in got for i in x), self.dtype), np.array([len(x) for x in got])
+        between = b" " + _MARK + b" "
+        runs = [(between.join(words[i : i + _TOGETHER]) + between).decode("utf-8", "replace") for i in range(0, len(words), _TOGETHER)]
+        got = [np.array(x.ids, self.dtype) for x in self.encoder.encode_batch_fast(runs, add_special_tokens=False)]
+        ids = np.concatenate(got)
+        marks = np.flatnonzero(ids == self.mark)
+        return ids[ids != self.mark], np.diff(np.append(-1, marks)) - 1
+
     def batch(self, texts: list[bytes], eos: int) -> Iterator[np.ndarray]:
         """The ids of each text, then eos."""
         tail = np.array([eos], self.dtype)
