@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 GROUP_DOCS = 2048
 SLIVER = 16
-_CACHE_WORDS = 600_000
+_CACHE_WORDS = 1_200_000
 _TOGETHER = 128
 #: A control character that is one token by itself stands between words that are encoded together.
 _MARK = b"\x1f"
@@ -98,6 +98,18 @@ def pack_lengths(lengths: list[int], capacity: int) -> list[tuple[int, int, int,
     return pieces
 
 
+class _Numbers(dict):
+    """Numbers words in the order they are first asked for."""
+
+    def __init__(self) -> None:
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.fresh.append(word)
+        return n
+
+
 class WordTokenizer:
     """Encodes texts word by word, remembering words; for tokenizers that drop white space.
 
@@ -113,24 +125,23 @@ class WordTokenizer:
 
         self.encoder = Tokenizer.from_file(path)
         self.dtype = np.uint16 if self.encoder.get_vocab_size() <= 1 << 16 else np.uint32
+        self.folds = all(self.encoder.encode(x, add_special_tokens=False).ids == self.encoder.encode(x.lower(), add_special_tokens=False).ids for x in ("Aa bB", "QUEUE", "IJ'LL Y'S"))
         alone = self.encoder.encode(_MARK.decode(), add_special_tokens=False).ids
         self.mark = alone[0] if len(alone) == 1 else None
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number = _Numbers()
         self.ids = np.zeros(0, self.dtype)
         self.starts = np.zeros(1, np.int64)
 
     def encode(self, words: list[bytes]) -> np.ndarray:
-        number = self.number
-        fresh = [w for w in dict.fromkeys(words) if w not in number]
-        if fresh:
-            got, lens = self._encode_apart(fresh)
-            number.update(zip(fresh, range(len(number), len(number) + len(fresh)), strict=True))
+        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        if self.number.fresh:
+            got, lens = self._encode_apart(self.number.fresh)
+            self.number.fresh = []
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lens)])
             self.ids = np.concatenate([self.ids, got])
-        at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
         begin, lens = self.starts[at], self.starts[at + 1] - self.starts[at]
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(words) else 0
@@ -156,7 +167,8 @@ class WordTokenizer:
         while i < len(texts):
             words, counts, size = [], [], 0
             while i < len(texts) and size < _LONG:
-                own = texts[i].split()
+                # case is folded by the tokenizer; folding A-Z here makes fewer words, but could make a special token
+                own = (texts[i].lower() if self.folds and b"<|" not in texts[i] else texts[i]).split()
                 words += own
                 counts.append(len(own))
                 size += len(texts[i])
