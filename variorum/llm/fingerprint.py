@@ -19,14 +19,19 @@ SPAN = 1024
 BROADCAST_ROWS = 100_000
 
 
-def _samples(term: str, ln_weight: str, n: int) -> list[Column]:
-    """For each sample a long whose least over a document's terms has the sample in its low 16 bits.
+#: The logarithm that stands for no occurrence: it can't be least, and stays within a long.
+ABSENT = -1e6
+
+
+def _samples(term: str, ln_weights: list[str], n: int) -> list[list[Column]]:
+    """For each weight and sample a long whose least over the terms has the sample in its low 16 bits.
 
     Gamma(2, 1) is the negative logarithm of a product of two uniforms; each is 21
-    bits of one of two hashes of the term and the sample's number.
+    bits of one of two hashes of the term and the sample's number. All weights of a
+    term share them.
     """
     bits = (1 << 21) - 1
-    out = []
+    out: list[list[Column]] = [[] for _ in ln_weights]
     for k in range(n):
         z = F.xxhash64(F.col(term), F.lit(k))
         y = F.xxhash64(z)
@@ -37,10 +42,11 @@ def _samples(term: str, ln_weight: str, n: int) -> list[Column]:
         r = -F.log(uniform(z, 0) * uniform(z, 21))
         ln_c = F.log(-F.log(uniform(y, 0) * uniform(y, 21)))
         b = uniform(y, 42)
-        t = F.floor(F.col(ln_weight) / r + b)
-        value = ln_c - r * (t - b + 1)
-        name = F.shiftright(z, 44).bitwiseXOR(t * 40503).bitwiseAND(0xFFFF)
-        out.append(F.shiftleft(((value + 128.0) * float(1 << 24)).cast("long"), 16).bitwiseOR(name))
+        for found, ln_weight in zip(out, ln_weights, strict=True):
+            t = F.floor(F.col(ln_weight) / r + b)
+            value = ln_c - r * (t - b + 1)
+            name = F.shiftright(z, 44).bitwiseXOR(t * 40503).bitwiseAND(0xFFFF)
+            found.append(F.shiftleft(((value + 128.0) * float(1 << 24)).cast("long"), 16).bitwiseOR(name))
     return out
 
 
@@ -49,12 +55,21 @@ def _hashed_words(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _signed(terms: DataFrame, keys: list[str], samples: int) -> DataFrame:
-    """(keys, signature, value) of (keys, term): 4 hex digits per sample, and the greatest term."""
-    counted = terms.groupBy(*keys, "term").agg(F.count("*").alias("w")).withColumn("ln_w", F.log(F.col("w").cast("double")))
-    least = counted.groupBy(*keys).agg(F.max("term").alias("value"), *(F.min(x).alias(f"s{k}") for k, x in enumerate(_samples("term", "ln_w", samples))))
-    digits = [F.lpad(F.lower(F.hex(F.col(f"s{k}").bitwiseAND(0xFFFF))), 4, "0") for k in range(samples)]
-    return least.select(*keys, F.concat(*digits).alias("signature"), "value")
+def _signed(counted: DataFrame, keys: list[str], weights: list[str], samples: int) -> DataFrame:
+    """(keys, a signature named after each weight, value) of (keys, term, weights).
+
+    A signature has 4 hex digits per sample and is empty without weight; value is
+    the greatest term.
+    """
+    logs = [F.when(F.col(w) > 0, F.log(F.col(w).cast("double"))).otherwise(ABSENT).alias(f"ln_{w}") for w in weights]
+    found = _samples("term", [f"ln_{w}" for w in weights], samples)
+    least = [F.min(x).alias(f"{w}_{k}") for w, own in zip(weights, found, strict=True) for k, x in enumerate(own)]
+    least = counted.select(*keys, "term", *weights, *logs).groupBy(*keys).agg(F.max("term").alias("value"), *(F.max(w).alias(w) for w in weights), *least)
+
+    def signature(w: str) -> Column:
+        return F.when(F.col(w) > 0, F.concat(*(F.lpad(F.lower(F.hex(F.col(f"{w}_{k}").bitwiseAND(0xFFFF))), 4, "0") for k in range(samples)))).otherwise("")
+
+    return least.select(*keys, "value", *(signature(w).alias(w) for w in weights))
 
 
 def signatures(texts: DataFrame, keys: list[str], text_col: str, samples: int = SAMPLES) -> DataFrame:
@@ -63,7 +78,8 @@ def signatures(texts: DataFrame, keys: list[str], text_col: str, samples: int =
     keys tell the rows of texts apart. Words are runs of anything but ASCII white
     space, in lower case; a text without words has no row.
     """
-    return _signed(texts.select(*keys, F.explode(_hashed_words(F.col(text_col))).alias("term")), keys, samples).drop("value")
+    terms = texts.select(*keys, F.explode(_hashed_words(F.col(text_col))).alias("term"))
+    return _signed(terms.groupBy(*keys, "term").agg(F.count("*").alias("signature")), keys, ["signature"], samples).drop("value")
 
 
 def likeness(a: str, b: str, samples: int = SAMPLES) -> Column:
@@ -119,23 +135,26 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))"), F.coalesce(F.substring("next_text", F.lit(1), third), F.lit(""))))
-    # a document's words and figures leave its texts behind together, so that these are dealt out once
+    # a document's words and figures leave its texts behind together, so that these are dealt out once;
+    # a term of both texts is drawn for once
     sha = F.sha2("edited", 256)
     figures = [F.col("id"), F.col("n_chars"), *(F.conv(F.substring(sha, 8 * i + 1, 8), 16, 10).cast("long") for i in range(8))]
-    parts = F.array(*(F.struct(F.lit(i).alias("which"), x.alias("terms")) for i, x in enumerate([_hashed_words(F.col("text")), _hashed_words(F.col("edited")), *map(F.array, figures)])))
+    lists = [(0, 1, 0, _hashed_words(F.col("text"))), (0, 0, 1, _hashed_words(F.col("edited"))), *((1 + i, 0, 0, F.array(x)) for i, x in enumerate(figures))]
+    parts = F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(own).alias("own"), F.lit(other).alias("other"), terms.alias("terms")) for kind, own, other, terms in lists))
     kept = F.when(F.col("end"), F.slice(parts, 1, 1)).otherwise(parts)
-    terms = rows.select("span", "place", F.explode(kept).alias("x")).select("span", "place", "x.which", F.explode("x.terms").alias("term"))
-    signed = _signed(terms, ["span", "place", "which"], samples)
+    terms = rows.select("span", "place", F.explode(kept).alias("x")).select("span", "place", "x.kind", "x.own", "x.other", F.explode("x.terms").alias("term"))
+    counted = terms.groupBy("span", "place", "kind", "term").agg(F.sum("own").alias("own"), F.sum("other").alias("other"))
+    signed = _signed(counted, ["span", "place", "kind"], ["own", "other"], samples)
 
-    def of(which: int, column: str) -> Column:
-        return F.max(F.when(F.col("which") == which, F.col(column)))
+    def of(kind: int, column: str) -> Column:
+        return F.max(F.when(F.col("kind") == kind, F.col(column)))
 
     joined = signed.groupBy("span", "place").agg(
-        F.coalesce(of(0, "signature"), F.lit("")).alias("own"),
-        F.coalesce(of(1, "signature"), F.lit("")).alias("other"),
-        of(2, "value").alias("id"),
-        of(3, "value").alias("n_chars"),
-        F.concat(*(F.lpad(F.lower(F.hex(of(4 + i, "value"))), 8, "0") for i in range(8))).alias("edited_sha256"),
+        F.coalesce(of(0, "own"), F.lit("")).alias("own"),
+        F.coalesce(of(0, "other"), F.lit("")).alias("other"),
+        of(1, "value").alias("id"),
+        of(2, "value").alias("n_chars"),
+        F.concat(*(F.lpad(F.lower(F.hex(of(3 + i, "value"))), 8, "0") for i in range(8))).alias("edited_sha256"),
     )
     following = F.coalesce(F.lead("own").over(Window.partitionBy("span").orderBy("place")), F.lit(""))
     joined = joined.withColumn("following", following).filter("n_chars is not null")
