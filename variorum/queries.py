@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,22 +9,10 @@ from variorum.functions import lexicon
 from variorum.functions import text as T
 from variorum.operators import diff, rules, variants
 from variorum.operators.pairs import edition_pairs
+from variorum.registry import QUERIES, SQL, Query, query
 from variorum.runtime import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
-
+__all__ = ["QUERIES", "SQL"]
 
 # --- candidates: examples of each rule, and words of the benchmark with their variations
 
@@ -387,3 +373,8 @@ def unique_word_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
         return own.select("conv_id", "turn", F.posexplode(words).alias("i", "word")).filter("length(word) >= 4").groupBy("conv_id", "turn", "word").agg(F.min("i").cast("long").alias(name), F.count("*").alias("n")).filter("n = 1").drop("n")
 
     return once("text", "a_pos").join(once("next", "b_pos"), ["conv_id", "turn", "word"])
+
+
+from variorum import queries_pages  # noqa: E402  registers its queries
+
+queries_pages.register_scores()
