@@ -24,10 +24,10 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
 
 
-@query("best_text_pages", "SELECT conv_id, turn, md5(CASE WHEN turn % 3 <> 0 THEN coalesce(text, '') ELSE upper(left(text, 5)) END) AS text_md5 FROM conversations")
+@query("best_text_pages", "SELECT conv_id, turn, md5(CASE WHEN turn % 3 <> 0 THEN coalesce(text, '') ELSE reverse(left(text, 5)) END) AS text_md5 FROM conversations")
 def best_text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as pages, every third with OCR text only."""
-    vision, ocr = F.when(F.col("turn") % 3 != 0, F.col("text")), F.upper(F.substring("text", 1, 5))
+    vision, ocr = F.when(F.col("turn") % 3 != 0, F.col("text")), F.reverse(F.substring("text", 1, 5))
     return _pages(spark, sf_dir).select("conv_id", "turn", F.md5(T.best_text(vision, ocr)).alias("text_md5"))
 
 

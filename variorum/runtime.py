@@ -7,15 +7,18 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def attach(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package where it isn't installed."""
+    """Let Python workers import this package where it isn't installed, and get texts in smaller batches."""
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    if spark.conf.get(BATCH_ROWS) == "10000":  # the default, which makes long texts large batches
+        spark.conf.set(BATCH_ROWS, "2000")
     return spark
 
 
