@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +23,10 @@ from variorum.runtime import parallelism
 
 _U = np.uint64
 ANCHOR_WORDS = 8
-GROUP_BYTES = 12_000_000
-SHARD_WORDS = 60_000
+GROUP_BYTES = 8_000_000
+SHARD_WORDS = 30_000
+#: Hashes travel as their low 40 bits; those that meet are of one shard or one anchor.
+_LOW = _U((1 << 40) - 1)
 
 
 class SuffixAutomaton:
@@ -112,6 +115,19 @@ def _runs(at: np.ndarray, anchors: np.ndarray, window: int) -> tuple[np.ndarray,
     return rows[first], first, total[stop] - total[first]
 
 
+def _five(a: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8)[:, :5]
+
+
+def _from_five(column: pa.ChunkedArray) -> list[np.ndarray]:
+    out = []
+    for x in column:
+        own = np.zeros((len(x.as_buffer()) // 5, 8), np.uint8)
+        own[:, :5] = np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, 5)
+        out.append(own.view(_U).ravel())
+    return out
+
+
 def _sorted_group(group: pa.Table) -> pa.Table:
     return group.sort_by([("id", "ascending"), ("text", "ascending")])
 
@@ -146,20 +162,20 @@ def _anchors(window: int, shards: int):
         a, d = a[order], d[order].astype(np.int64)
         head = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if a.size else np.zeros(0, np.int64)
         several = np.maximum.reduceat(d, head) > np.minimum.reduceat(d, head) if a.size else np.zeros(0, bool)
-        return _pack(_shard_of(a[head], shards), key[0].as_py(), a[head], several.astype(np.uint8))
+        return _pack(_shard_of(a[head], shards), key[0].as_py(), _five(a[head]), several.astype(np.uint8))
 
     return run
 
 
 def _shared(key: tuple, shard: pa.Table) -> pa.Table:
     """Of each group's anchors those that several documents have."""
-    parts = [np.frombuffer(x.as_buffer(), _U) for x in shard.column("c0")]
+    parts = _from_five(shard.column("c0"))
     several = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in shard.column("c1")])
     a = np.concatenate(parts)
     _, code, count = np.unique(a, return_inverse=True, return_counts=True)
     kept = (count > 1) | (np.bincount(code, several) > 0)
     at = np.cumsum([0, *map(len, parts)])
-    return pa.table({"grp": shard.column("grp"), "anchors": pa.array([a[i:j][kept[code[i:j]]].tobytes() for i, j in zip(at, at[1:], strict=False)], pa.binary())})
+    return pa.table({"grp": shard.column("grp"), "shard": shard.column("shard"), "anchors": pa.array([_five(a[i:j][kept[code[i:j]]]).tobytes() for i, j in zip(at, at[1:], strict=False)], pa.binary())})
 
 
 def _sequence_keys(h: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -172,16 +188,17 @@ def _sequence_keys(h: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.nda
     return mix(np.add.reduceat(mix(h[cells] ^ salt[within]), begins) + size.astype(_U)) if size.size else np.zeros(0, _U)
 
 
-def _candidates(texts: pa.ChunkedArray, replies: pa.Table, window: int):
+def _candidates(texts: pa.ChunkedArray, replies: pa.Table, window: int, shards: int):
     """The passages around shared anchors: (row, words, rows' starts, run rows, first words, windows, anchors)."""
-    shared = [np.frombuffer(x.as_buffer(), _U) for x in replies.column("anchors") if x.is_valid and x.as_buffer().size]
+    known = replies.filter(pc.is_valid(replies.column("anchors")))
+    shared = [x | _U(n << 40) for n, x in zip(known.column("shard").to_pylist(), _from_five(known.column("anchors")), strict=True)]
     shared = np.sort(np.concatenate(shared)) if shared else np.zeros(0, _U)
     for row, h, at, anchors in _windows(texts, window):
         rows, first, size = _runs(at, anchors, window)
         own = anchors[first]
         if shared.size:
-            place = np.minimum(np.searchsorted(shared, own), shared.size - 1)
-            keep = shared[place] == own
+            named = (own & _LOW) | (_shard_of(own, shards).astype(_U) << _U(40))
+            keep = shared[np.minimum(np.searchsorted(shared, named), shared.size - 1)] == named
         else:
             keep = np.zeros(own.size, bool)
         yield row, h, at, rows[keep], first[keep], size[keep], own[keep]
@@ -193,7 +210,7 @@ def _passages(window: int, shards: int):
         ids = group.column("id").to_numpy()
         seen: list[tuple[np.ndarray, ...]] = []
         words = []
-        for row, h, _, rows, first, size, own in _candidates(group.column("text"), replies, window):
+        for row, h, _, rows, first, size, own in _candidates(group.column("text"), replies, window, shards):
             size = size + window - 1
             keys = _sequence_keys(h, first, size)
             cells = np.repeat(first, size) + (np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size))
@@ -209,16 +226,17 @@ def _passages(window: int, shards: int):
         begin = np.cumsum(size) - size
         cells = np.repeat(begin[pick], size[pick]) + (np.arange(int(size[pick].sum())) - np.repeat(np.cumsum(size[pick]) - size[pick], size[pick]))
         shard = _shard_of(own[pick], shards)
-        table = _pack(shard, key[0].as_py(), keys[pick], own[pick], docs[pick], size[pick])
-        return table.append_column("c4", _pack(np.repeat(shard, size[pick]), 0, h[cells]).column("c0"))
+        table = _pack(shard, key[0].as_py(), keys[pick], own[pick], docs[pick], size[pick].astype(np.uint32))
+        return table.append_column("c4", _pack(np.repeat(shard, size[pick]), 0, _five(h[cells])).column("c0"))
 
     return run
 
 
 def _match(window: int):
     def run(key: tuple, shard: pa.Table) -> pa.Table:
-        """For each group and passage the smallest document of each of its windows."""
-        keys, own, docs, size, h = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in shard.column(f"c{k}")]) for k, t in enumerate((_U, _U, np.int64, np.int64, _U)))
+        """For each group and passage whether a document before the group's first with it has each of its windows."""
+        keys, own, docs, size = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in shard.column(f"c{k}")]) for k, t in enumerate((_U, _U, np.int64, np.uint32)))
+        size, h = size.astype(np.int64), np.concatenate(_from_five(shard.column("c4")))
         group = np.repeat(np.arange(shard.num_rows), [len(x.as_buffer()) // 8 for x in shard.column("c0")])
         begin = np.cumsum(size) - size
         order = np.lexsort((docs, keys))
@@ -251,27 +269,30 @@ def _match(window: int):
             c = code[mine]
             c_lens = lens[c]
             cells = np.repeat(where[c], c_lens) + (np.arange(int(c_lens.sum())) - np.repeat(np.cumsum(c_lens) - c_lens, c_lens))
-            out.append((keys[mine].tobytes(), c_lens.tobytes(), flat[cells].tobytes()))
-        return pa.table({"grp": shard.column("grp"), **{name: pa.array([x[k] for x in out], pa.binary()) for k, name in enumerate(("keys", "lens", "firsts"))}})
+            earlier = flat[cells] < np.repeat(docs[mine], c_lens)
+            out.append((keys[mine].tobytes(), c_lens.astype(np.uint32).tobytes(), earlier.astype(np.uint8).tobytes()))
+        return pa.table({"grp": shard.column("grp"), **{name: pa.array([x[k] for x in out], pa.binary()) for k, name in enumerate(("keys", "lens", "earlier"))}})
 
     return run
 
 
-def _finish(window: int):
+def _finish(window: int, shards: int):
     def run(key: tuple, group: pa.Table, replies: pa.Table) -> pa.Table:
         group = _sorted_group(group)
         ids = group.column("id").to_numpy()
-        keys, lens, firsts = (np.concatenate([np.zeros(0, t), *(np.frombuffer(x.as_buffer(), t) for x in replies.column(name) if x.is_valid and x.as_buffer().size)]) for name, t in (("keys", _U), ("lens", np.int64), ("firsts", np.int64)))
-        order = np.argsort(keys, kind="stable")
+        keys, lens, before = (np.concatenate([np.zeros(0, t), *(np.frombuffer(x.as_buffer(), t) for x in replies.column(name) if x.is_valid and x.as_buffer().size)]) for name, t in (("keys", _U), ("lens", np.uint32), ("earlier", np.uint8)))
+        order, lens = np.argsort(keys, kind="stable"), lens.astype(np.int64)
+        smallest = np.full(keys.size, np.iinfo(np.int64).max)  # of the group's documents with each passage; ids ascend
         keys, where, lens = keys[order], (np.cumsum(lens) - lens)[order], lens[order]
         n_words, n_removed, kept = [], [], []
         texts = group.column("text")
-        for row, h, at, rows, first, size, _ in _candidates(texts, replies, window):
+        for row, h, at, rows, first, size, _ in _candidates(texts, replies, window, shards):
             covered = np.zeros(h.size + 1, np.int64)
             if rows.size:
                 place = np.searchsorted(keys, _sequence_keys(h, first, size + window - 1))
                 within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-                earlier = firsts[np.repeat(where[place], size) + within] < np.repeat(ids[rows + row], size)
+                np.minimum.at(smallest, place, ids[rows + row])
+                earlier = (before[np.repeat(where[place], size) + within] > 0) | np.repeat(ids[rows + row] > smallest[place], size)
                 hit = (np.repeat(first, size) + within)[earlier]
                 np.add.at(covered, hit, 1)
                 np.add.at(covered, hit + window, -1)
@@ -310,16 +331,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     groups = max(1, int(size) // GROUP_BYTES)
-    shards = 4 * max(parallelism(spark), groups // 4)
+    shards = max(8 * parallelism(spark), groups)
     named = own.filter("id is not null").withColumn("grp", F.pmod(F.xxhash64("id", F.lit(53)), F.lit(groups)))
     dealt = named.select("grp", "id", F.coalesce("text", F.lit("")).alias("text")).repartition(max(parallelism(spark), groups), "grp")
     packed = "shard int, grp long, " + ", ".join(f"c{k} binary" for k in range(5))
     anchors = dealt.groupBy("grp").applyInArrow(_anchors(window, shards), "shard int, grp long, c0 binary, c1 binary")
-    shared = anchors.groupBy("shard").applyInArrow(_shared, "grp long, anchors binary")
+    shared = anchors.groupBy("shard").applyInArrow(_shared, "grp long, shard int, anchors binary")
     passages = dealt.groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(_passages(window, shards), packed)
-    matched = passages.groupBy("shard").applyInArrow(_match(window), "grp long, keys binary, lens binary, firsts binary")
+    matched = passages.groupBy("shard").applyInArrow(_match(window), "grp long, keys binary, lens binary, earlier binary")
     replies = matched.unionByName(shared, allowMissingColumns=True)
-    done = dealt.groupBy("grp").cogroup(replies.groupBy("grp")).applyInArrow(_finish(window), "id long, n_words long, n_removed long, text string")
+    done = dealt.groupBy("grp").cogroup(replies.groupBy("grp")).applyInArrow(_finish(window, shards), "id long, n_words long, n_removed long, text string")
     nameless = own.filter("id is null").select("id", F.filter(F.split(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\f\r", "     "), " "), lambda w: w != "").alias("words"))
     nameless = nameless.select("id", F.size("words").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.array_join("words", " ").alias("text"))
     return done.unionByName(nameless).withColumnRenamed("id", id_col)
