@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,6 +51,18 @@ def edit_score(a: Column, b: Column) -> Column:
     return F.when((x == "") | (y == ""), 0.0).when(one, F.when(far == 0, 1.0).when(far <= 0.2, 0.9).when(far <= 0.4, 0.7).when(far <= 0.6, 0.4).otherwise(0.1))
 
 
+def edit_score_any(a: Column, b: Column) -> Column:
+    """M7: edit_score, and for several words the similarity of their sequences, in steps, by an Arrow function."""
+
+    @F.pandas_udf("double")
+    def alike(p: pd.Series, q: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, (x or "").split(), (y or "").split()).ratio() for x, y in zip(p, q, strict=True)])
+
+    x, y = (F.regexp_replace(F.trim(F.lower(c)), r"[.,;:!?\"'()\[\]{}]", "") for c in (a, b))
+    several = _steps(alike(x, y), (0.7, 0.9), (0.5, 0.6), (0.3, 0.3), last=0.1)
+    return F.coalesce(edit_score(a, b), several)
+
+
 def alignment_score(confidence: Column) -> Column:
     """M8."""
     return F.when(confidence.isNull(), 0.3).otherwise(_steps(confidence, (0.9, 1.0), (0.7, 0.8), (0.5, 0.5), last=0.2))
@@ -60,14 +74,14 @@ def length_score(a: Column, b: Column) -> Column:
     return F.when((n == 0) | (m == 0), 0.3).otherwise(_steps(F.least(n, m) / F.greatest(n, m), (0.8, 1.0), (0.6, 0.7), (0.4, 0.4), last=0.1))
 
 
-def score(text: Column, a: Column, b: Column, offset: Column, confidence: Column) -> Column:
-    """M5: null where edit_score is; a lone word that is close to the other isn't held to its context."""
+def score(text: Column, a: Column, b: Column, offset: Column, confidence: Column, edit: Column | None = None) -> Column:
+    """M5: null where the edit score is, by default that of single words; a lone word that is close to the other isn't held to its context."""
     context = context_score(text, a, b, offset)
     x, y = (F.lower(F.regexp_replace(F.trim(c), r"^[.,;:!?\"'“”]+|[.,;:!?\"'“”]+$", "")) for c in (a, b))
     alone = F.size(F.filter(T.tokens(b), lambda w: F.length(w) >= 3)) <= 1
     close = (F.length(x) > 2) & (F.length(y) > 2) & (1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y)) >= 0.5)
     context = F.when(alone & (context == 0.0) & close, 0.5).otherwise(context)
-    total = context * CONTEXT + edit_score(a, b) * EDIT + alignment_score(confidence) * ALIGN + length_score(a, b) * LENGTH
+    total = context * CONTEXT + (edit_score(a, b) if edit is None else edit) * EDIT + alignment_score(confidence) * ALIGN + length_score(a, b) * LENGTH
     return F.when(a.contains("(absent") | b.contains("(absent"), 0.0).otherwise(total)
 
 

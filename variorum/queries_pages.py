@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from variorum.functions import lexicon
 from variorum.functions import text as T
 from variorum.operators import align, editions, gaps, pages, score
+from variorum.operators.pairs import edition_pairs
+from variorum.plans import compare, errata, verify
 from variorum.registry import SQL, query
 from variorum.runtime import table
 from variorum.sources import html as web
@@ -456,3 +458,30 @@ def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST1: each row of the log once."""
     return stream.drain(stream.first_rows(stream.source(spark, sf_dir)).select("event_id", "user_id", "event_type"), "append")
+
+
+# --- whole plans, over near copies: the smaller text as the book, the larger as its page
+
+
+def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    pairs = edition_pairs(table(spark, sf_dir, "documents")).filter("jaccard < 1")
+    return pairs.select(F.col("b_id").alias("book_id"), F.col("a_text").alias("body_text")), pairs.select(F.col("b_id").alias("book_id"), F.lit(0).cast("long").alias("page_num"), F.col("b_text").alias("text"))
+
+
+@query("errata_errors")
+def errata_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The errata plan's errors."""
+    return errata.run(*_near(spark, sf_dir)).errors
+
+
+@query("edition_variants")
+def edition_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4: the comparison plan's variants."""
+    return compare.run(*_near(spark, sf_dir))
+
+
+@query("edition_line_breaks")
+def edition_line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line breaks of near copies against each other."""
+    books, own = _near(spark, sf_dir)
+    return verify.line_breaks(books.withColumnRenamed("body_text", "text"), own.select("book_id", "text"))
