@@ -95,32 +95,44 @@ def is_us_uk(a: Column, b: Column, keys: list[str] | None = None) -> Column:
 
 
 def stems(word: Column) -> Column:
-    """The forms under which a dictionary may hold a word."""
-    w = F.lower(word)
-
-    def cut(n: int, add: str = "") -> Column:
-        return F.concat(F.substring(w, F.lit(1), F.greatest(F.length(w) - n, F.lit(0))), F.lit(add))
-
-    def undouble(n: int) -> Column:
-        base = cut(n)
-        twice = (F.length(base) > 2) & (F.substring(base, -1, 1) == F.substring(base, -2, 1))
-        return F.when(twice, F.substring(base, F.lit(1), F.length(base) - 1))
-
-    forms = [
-        (r"['’]s$", [cut(2)]),
-        (r"ingly$", [cut(5), cut(5, "e")]),
-        (r"edly$", [cut(4), cut(4, "e")]),
-        (r"ing$", [cut(3), cut(3, "e"), undouble(3)]),
-        (r"ed$", [cut(2), cut(1), undouble(2)]),
-        (r"ly$", [cut(2), cut(2, "le")]),
-        (r"er$", [cut(2), cut(1), undouble(2)]),
-        (r"est$", [cut(3), cut(2), undouble(3)]),
-        (r"ies$", [cut(3, "y")]),
-        (r"es$", [cut(2)]),
-        (r"s$", [cut(1)]),
+    """The forms under which a dictionary may hold a word; accents must be gone before.
+
+    A possessive has its owner alone. Endings count from a length on; a doubled
+    consonant before -ing and -ed may be single.
+    """
+    w = F.lower(F.trim(word))
+    n = F.length(w)
+
+    def cut(k: int, add: str = "") -> Column:
+        return F.concat(F.substring(w, F.lit(1), F.greatest(n - k, F.lit(0))), F.lit(add))
+
+    def single(k: int) -> Column:
+        base = cut(k)
+        return F.when((F.length(base) > 2) & (F.substring(base, -1, 1) == F.substring(base, -2, 1)), F.substring(base, F.lit(1), F.length(base) - 1))
+
+    none = F.array().cast("array<string>")
+    rules = [
+        ((n > 5) & w.rlike("(ing|ed)ly$"), [cut(2), cut(4)]),
+        ((n > 5) & w.endswith("ing"), [cut(3), single(3)]),
+        ((n > 4) & w.endswith("ed"), [cut(2), single(2), cut(2, "e")]),
+        ((n > 4) & w.endswith("ly"), [cut(2)]),
+        ((n > 4) & w.endswith("er"), [cut(2)]),
+        ((n > 4) & w.endswith("est"), [cut(3)]),
+        ((n > 3) & w.endswith("s") & ~w.endswith("ss"), [cut(1)]),
+        ((n > 4) & w.endswith("es"), [cut(2), cut(2, "y")]),
     ]
-    found = [F.array(w)] + [F.when(w.rlike(p), F.array(*x)).otherwise(F.array().cast("array<string>")) for p, x in forms]
-    return F.array_distinct(F.filter(F.flatten(F.array(*found)), lambda x: x.isNotNull() & (F.length(x) > 1)))
+    found = F.flatten(F.array(F.array(w), *(F.when(test, F.array(*forms)).otherwise(none) for test, forms in rules)))
+    owner = F.when(w.rlike("'s$|s'$"), F.array(w, cut(2))).when(w.endswith("'") & (n > 2), F.array(w, cut(1)))
+    return F.array_distinct(F.filter(F.coalesce(owner, found), lambda x: x.isNotNull() & (x != "")))
+
+
+# fixed value: letters with marks, and ligatures
+MARKED = "[àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ\u0100-\u017f]"
+
+
+def has_mark(word: Column) -> Column:
+    """N30."""
+    return F.lower(word).rlike(MARKED)
 
 
 def pairs_literal() -> str:

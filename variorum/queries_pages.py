@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from variorum.functions import lexicon
 from variorum.functions import text as T
-from variorum.operators import align, editions, gaps, pages, score
+from variorum.operators import align, anchors, dictionary, editions, gaps, pages, score
 from variorum.operators.pairs import edition_pairs
 from variorum.plans import compare, errata, verify
 from variorum.registry import SQL, query
 from variorum.runtime import table
 from variorum.sources import html as web
 from variorum.streaming import events as stream
+from variorum.streaming import tracker
 
 NL = "chr(10)"
 _TRIMMED = f"trim(coalesce(text, ''), ' ' || {NL} || chr(9) || chr(13))"
@@ -485,3 +486,52 @@ def edition_line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line breaks of near copies against each other."""
     books, own = _near(spark, sf_dir)
     return verify.line_breaks(books.withColumnRenamed("body_text", "text"), own.select("book_id", "text"))
+
+
+# --- dictionary, anchors, body
+
+
+def _forms(w: str) -> str:
+    n = f"length({w})"
+
+    def cut(k: int, add: str = "") -> str:
+        return f"left({w}, {n} - {k})" + (f" || '{add}'" if add else "")
+
+    def single(k: int) -> str:
+        return f"CASE WHEN {n} - {k} > 2 AND right({cut(k)}, 1) = left(right({cut(k)}, 2), 1) THEN left({w}, {n} - {k + 1}) END"
+
+    rules = [(5, "regexp_matches({w}, '(ing|ed)ly$')", [cut(2), cut(4)]), (5, "ends_with({w}, 'ing')", [cut(3), single(3)]), (4, "ends_with({w}, 'ed')", [cut(2), single(2), cut(2, "e")]), (4, "ends_with({w}, 'ly')", [cut(2)]), (4, "ends_with({w}, 'er')", [cut(2)]), (4, "ends_with({w}, 'est')", [cut(3)]), (3, "ends_with({w}, 's') AND NOT ends_with({w}, 'ss')", [cut(1)]), (4, "ends_with({w}, 'es')", [cut(2), cut(2, "y")])]
+    parts = [f"CASE WHEN {n} > {least} AND {test.format(w=w)} THEN [{', '.join(forms)}] ELSE [] END" for least, test, forms in rules]
+    return f"list_filter(flatten([[{w}], {', '.join(parts)}]), lambda x: x IS NOT NULL AND x <> '')"
+
+
+_PLAIN_WORDS = "(SELECT DISTINCT unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: regexp_matches(x, '^[a-z]+$'))) AS word FROM {t})"
+
+
+@query("dictionary_lookup", f"WITH d AS (SELECT word AS entry FROM {_PLAIN_WORDS.format(t='benchmark')}), w AS (SELECT word FROM {_PLAIN_WORDS.format(t='documents')}), f AS (SELECT word, unnest({_forms('word')}) AS entry FROM w), k AS (SELECT DISTINCT word FROM f SEMI JOIN d ON d.entry = f.entry) SELECT w.word, k.word IS NOT NULL AS in_dictionary FROM w LEFT JOIN k ON k.word = w.word")
+def dictionary_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' words of ASCII letters against those of the benchmark."""
+
+    def words(name: str) -> DataFrame:
+        return table(spark, sf_dir, name).select(F.explode(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x.rlike("^[a-z]+$"))).alias("word")).distinct()
+
+    return dictionary.in_dictionary(words("documents"), words("benchmark").withColumnRenamed("word", "entry"))
+
+
+@query("body_starts")
+def body_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A48."""
+    return table(spark, sf_dir, "documents").select("doc_id", anchors.body_start(F.replace("text", F.lit("\n"), F.lit("\n\n"))).alias("start"))
+
+
+@query("page_places")
+def page_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A31 to A33."""
+    return anchors.place_pages(_pages(spark, sf_dir), pages.stitched(_pages(spark, sf_dir)))
+
+
+@query("tracked_pages")
+def tracked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST5, ST6, A49 to A55."""
+    al = _alignments(spark, sf_dir).select(F.col("conv_id").alias("book_id"), F.col("scan_page").alias("page_num"), "pg_end", "confidence")
+    return tracker.track(al)
