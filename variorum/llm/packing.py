@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 GROUP_DOCS = 2048
 SLIVER = 16
-_CACHE_WORDS = 1_200_000
+_CACHE_WORDS = 800_000
 _TOGETHER = 128
 #: A control character that is one token by itself stands between words that are encoded together.
 _MARK = b"\x1f"
