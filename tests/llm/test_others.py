@@ -225,3 +225,34 @@ def test_pipeline_stages(spark, tmp_path):
         if k < len(C.STAGES) - 1:
             assert docs.columns == columns and docs.count() > 0
     assert docs.agg({"doc_tokens": "max"}).first()[0] > 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_registered_queries_run_over_their_tables(spark, name):
+    """The columns of the contracts, and a row for each row of the table that a query is about."""
+    got = queries.QUERIES[name](spark, DATA)
+    rows = got.count()
+    tables = {"op6": ("pages", 0), "op7": ("pages", 0), "op8": None, "op10": None, "op4": None}
+    about = tables.get(name.split("_")[0], ("documents", 0))
+    if about:
+        assert rows == spark.read.parquet(f"{DATA}/{about[0]}.parquet").count()
+    wanted = {
+        "op1": "doc_id n_shingles component_id kept",
+        "op3": "doc_id n_words n_removed kept_sha256",
+        "op4": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
+        "op5": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
+        "op7": "page_id url text n_chars",
+        "op8": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
+        "op9": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
+    }.get(name.split("_")[0], "")
+    assert set(wanted.split()) <= set(got.columns)
+
+
+def test_pii_query_digests(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    for r in queries.op9_pii(spark, DATA).collect():
+        base = pii.base_spans(texts[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == n for _, k, _ in base) for n in range(4)]
+        said = [f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in base]
+        assert r.base_sha256 == hashlib.sha256(",".join(said).encode()).hexdigest()
+        assert set(said) <= set(r.spans.split(","))

@@ -99,20 +99,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
 }
 
-_WORDS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), w -> w <> '')"
+_WORDS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
 
 SQL: dict[str, str] = {
     "op10_decontamination": f"""
         WITH items AS (
           SELECT item_id, w, least(len(w), 5) AS k FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0
         ), item_shingles AS (
-          SELECT DISTINCT item_id, k, unnest(list_transform(range(1, len(w) - k + 2), i -> array_to_string(w[i:i + k - 1], ' '))) AS shingle FROM items
+          SELECT DISTINCT item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS shingle FROM items
         ), sizes AS (
           SELECT item_id, k, count(*) AS n FROM item_shingles GROUP BY ALL
         ), docs AS (
           SELECT doc_id, {_WORDS} AS w FROM documents
         ), doc_shingles AS (
-          SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), i -> array_to_string(w[i:i + k - 1], ' '))) AS shingle
+          SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS shingle
           FROM docs, (SELECT DISTINCT k FROM sizes) WHERE len(w) >= k
         )
         SELECT doc_id, item_id, n AS n_item_shingles, count(*) AS n_shared, count(*) / n AS containment
