@@ -159,6 +159,13 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip((self.weights[at] * value).sum() + self.bias, -50, 50))))
 
 
+def bounded_sample(rows: DataFrame, most: int) -> DataFrame:
+    """The `most` rows of least draw; only draws are put in order over all rows, the rest travels for those alone."""
+    last = rows.select("draw").orderBy("draw").limit(most).agg(F.max("draw")).first()[0]
+    kept = rows.filter(F.col("draw") <= F.lit(last)) if last is not None else rows.filter("false")
+    return kept.orderBy("draw", "text").limit(most)
+
+
 def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", train_docs: int = TRAIN_DOCS, epochs: int = 30) -> Scorer:
     """A scorer fitted without reviewers' labels.
 
@@ -174,7 +181,7 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", train_d
     if not len(found):
         return Scorer(np.full((len(RULES), 2, 2), 0.5), 0.5, np.zeros(DIMS), 0.0)
     chance, share = fit_votes(_unpack(found.pattern.to_numpy()), found["count"].to_numpy().astype(float))
-    drawn = docs.select(F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.lit(29)).alias("draw")).filter("text is not null").orderBy("draw", "text").limit(train_docs)
+    drawn = bounded_sample(docs.select(F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.lit(29)).alias("draw")).filter("text is not null"), train_docs)
     sample = drawn.select("text").mapInArrow(_featurer, "pattern int, at binary, value binary").toPandas()
     labels = posterior(_unpack(sample.pattern.to_numpy()), chance, share)
     rows = [(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32)) for a, v in zip(sample["at"], sample["value"], strict=True)]
