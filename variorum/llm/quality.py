@@ -216,9 +216,10 @@ def _scorer(model: Scorer, text_at: int):
     return run
 
 
-def score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = 0.5, model: Scorer | None = None) -> DataFrame:
+def score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = 0.2, model: Scorer | None = None) -> DataFrame:
     """docs with quality_posterior, quality_score and quality_keep (score at or above threshold).
 
+    The threshold is low: what is hard to tell, such as a text of a few words, is kept.
     The posterior is what the labellers say, the score what the linear scorer says.
     Null, empty and blank texts score 0. Columns of these names are replaced; all
     other columns and repeated rows stay as they are.
