@@ -32,12 +32,8 @@ def find_near(text: Column, word: Column, offset: Column) -> Column:
     return F.when(exact > 0, start + exact - 1).when(folded > 0, start + folded - 1).otherwise(-1)
 
 
-def context_score(text: Column, a: Column, b: Column, offset: Column) -> Column:
-    """M6: the share of the witness's longer words that stand within 300 characters, in steps."""
-    found = find_near(text, a, offset)
-    at = F.when(found < 0, offset).otherwise(found)
-    start = F.greatest(F.lit(0), at - 300)
-    near = T.tokens(F.lower(F.substring(text, (start + 1).cast("int"), (at + F.length(a) + 300 - start).cast("int"))))
+def _context_score(near: Column, b: Column) -> Column:
+    """M6: the share of the witness's longer words among the words near by, in steps."""
     words = F.filter(T.tokens(F.lower(b)), lambda w: F.length(w) >= 3)
     hits = F.size(F.filter(words, lambda w: F.array_contains(near, w) | F.array_contains(near, F.regexp_replace(w, r"[.,;:!?\"']+$", ""))))
     return F.when(F.size(words) == 0, 0.0).otherwise(_steps(hits / F.size(words), (0.8, 1.0), (0.6, 0.8), (0.4, 0.5), (0.2, 0.3), last=0.0))
@@ -74,15 +70,26 @@ def length_score(a: Column, b: Column) -> Column:
     return F.when((n == 0) | (m == 0), 0.3).otherwise(_steps(F.least(n, m) / F.greatest(n, m), (0.8, 1.0), (0.6, 0.7), (0.4, 0.4), last=0.1))
 
 
-def score(text: Column, a: Column, b: Column, offset: Column, confidence: Column, edit: Column | None = None) -> Column:
-    """M5: null where the edit score is, by default that of single words; a lone word that is close to the other isn't held to its context."""
-    context = context_score(text, a, b, offset)
+def with_score(rows: DataFrame, text: str, offset: str, confidence: str, edit: Column | None = None) -> DataFrame:
+    """M5: rows (pg_text, scan_text, and the named columns) with `score`, null where the edit score is, by default that of single words.
+
+    A lone word that is close to the other isn't held to its context. The words
+    within 300 characters are a column of their own, made once a row.
+    """
+    a, b = F.col("pg_text"), F.col("scan_text")
+    found = find_near(F.col(text), a, F.col(offset))
+    own = rows.withColumn("__at", F.when(found < 0, F.col(offset)).otherwise(found)).withColumn("__start", F.greatest(F.lit(0), F.col("__at") - 300))
+    near = F.substring(F.col(text), (F.col("__start") + 1).cast("int"), (F.col("__at") + F.length(a) + 300 - F.col("__start")).cast("int"))
+    own = own.withColumn("__near", T.tokens(F.lower(near)))
+    own = own.withColumn("__context", _context_score(F.col("__near"), b))
     x, y = (F.lower(F.regexp_replace(F.trim(c), r"^[.,;:!?\"'“”]+|[.,;:!?\"'“”]+$", "")) for c in (a, b))
     alone = F.size(F.filter(T.tokens(b), lambda w: F.length(w) >= 3)) <= 1
     close = (F.length(x) > 2) & (F.length(y) > 2) & (1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y)) >= 0.5)
-    context = F.when(alone & (context == 0.0) & close, 0.5).otherwise(context)
-    total = context * CONTEXT + (edit_score(a, b) if edit is None else edit) * EDIT + alignment_score(confidence) * ALIGN + length_score(a, b) * LENGTH
-    return F.when(a.contains("(absent") | b.contains("(absent"), 0.0).otherwise(total)
+    context = F.when(alone & (F.col("__context") == 0.0) & close, 0.5).otherwise(F.col("__context"))
+    own = own.withColumn("__edit", edit_score(a, b) if edit is None else edit)
+    total = context * CONTEXT + F.col("__edit") * EDIT + alignment_score(F.col(confidence)) * ALIGN + length_score(a, b) * LENGTH
+    scored = own.withColumn("score", F.when(a.contains("(absent") | b.contains("(absent"), 0.0).otherwise(total))
+    return scored.drop("__at", "__start", "__near", "__context", "__edit")
 
 
 def verdict(total: Column) -> Column:

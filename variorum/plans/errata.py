@@ -45,8 +45,7 @@ def run(books: DataFrame, own: DataFrame, mode: str = "recursive", strict: bool
     before = F.length(F.array_join(F.slice(F.split("norm", " "), F.lit(1), F.col("i1")), " ")) + F.when(F.col("i1") > 0, 1).otherwise(0)
     told = told.withColumns({"in_passage": before, "pg_offset_ref": F.col("pg_start") + F.col("i1"), "pg_offset": F.col("pg_start") + before})
     kept = rules.mark_artifacts(rules.apply_rules(told, strict))
-    total = score.score(F.col("norm"), F.col("pg_text"), F.col("scan_text"), F.col("in_passage"), F.col("confidence"), score.edit_score_any(F.col("pg_text"), F.col("scan_text")))
-    scored = kept.withColumn("score", total).withColumn("verdict", score.verdict(F.col("score")))
+    scored = score.with_score(kept, "norm", "in_passage", "confidence", score.edit_score_any(F.col("pg_text"), F.col("scan_text"))).withColumn("verdict", score.verdict(F.col("score")))
     errors = scored.select("book_id", "scan_page", "seq", "pg_text", "scan_text", "category", "diff_description", "pg_offset", "pg_offset_ref", F.col("score").alias("confidence"), "verdict", "filter_name")
     words = books.select(F.explode(F.split("body_text", r"[^\p{L}\p{N}_]+")).alias("word")).filter("word <> ''")
     missing = gaps.all_gaps(pages.page_map(cleaned, "book_id", "page_num"), aligned, books.withColumnRenamed("body_text", "book_text"), "book_id", "page_num")

@@ -269,8 +269,7 @@ def _placed_sql() -> str:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = F.col("pg_text"), F.col("scan_text")
-    own = _placed(spark, sf_dir).withColumn("score", score.score(F.col("text"), a, b, F.col("pg_offset"), F.col("confidence")))
+    own = score.with_score(_placed(spark, sf_dir), "text", "pg_offset", "confidence")
     return own.filter("score is not null").select("item_id", "seq", "pg_offset", "pg_text", "scan_text", "score")
 
 
