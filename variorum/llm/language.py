@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from variorum.llm.quality import bounded_sample
 from variorum.llm.words import blocks
+from variorum.runtime import cut
 
 DIMS = 1 << 16
 TRAIN_TEXTS = 2000
@@ -52,7 +54,7 @@ def fit_text(labelled: DataFrame, text_col: str = "text", language_col: str = "l
     Languages are those of the drawn texts; null languages and texts aren't drawn.
     """
     own = labelled.select(F.col(language_col).alias("language"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.lit(31)).alias("draw"))
-    drawn = own.filter("language is not null and text is not null").orderBy("draw", "text").limit(train_texts).select("language", "text").toPandas()
+    drawn = bounded_sample(own.filter("language is not null and text is not null"), train_texts).select("language", "text").toPandas()
     languages = sorted(drawn["language"].unique())
     if not languages:
         return TextModel(["und"], np.zeros((DIMS, 1)))
@@ -106,7 +108,8 @@ def identify(pages: DataFrame, model: TextModel, id_col: str = "page_id", url_co
     own = own.withColumns({"suffix": F.regexp_extract("host", r"([^.]*)$", 1), "domain": F.regexp_extract("host", r"([^.]*\.)?[^.]*$", 0)})
     kind = dict(own.dtypes)["id"]
     scored = own.mapInArrow(_scorer(model), f"id {kind}, host string, declared string, suffix string, domain string, likelihood array<double>")
-    scored = scored.withColumn("vote", _softmax("likelihood"))
+    # one row of figures a page, read six times below: pages are gone through once
+    scored = cut(scored.withColumn("vote", _softmax("likelihood")))
 
     def sums(key: str, name: str) -> DataFrame:
         return scored.groupBy(key).agg(F.array(*(F.sum(F.col("vote")[k]) for k in range(n))).alias(name))
