@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from variorum.functions import lexicon
 from variorum.functions import text as T
-from variorum.operators import align, diff, gaps, images, pages, poetry, report, rules, score, variants
+from variorum.operators import align, diff, editions, gaps, images, pages, poetry, report, rules, score, variants
 from variorum.sources import editions as src
 
 
@@ -179,6 +179,25 @@ def test_volumes_are_numbered_on(spark):
     assert [r.page_num for r in src.volume_pages(rows).orderBy("volume", "page").collect()] == [0, 1, 2]
 
 
+def test_sentence_and_derived_columns(spark):
+    text = "One here. Two _is_\nthe word! Three.\n\nFour goes on\n\nlast"
+    place = lambda w: report.sentence_at(F.col("t"), F.lit(text.index(w)), F.lit(len(w)))
+    assert one(spark, place("the"), t=text) == "Two is the word!"
+    assert one(spark, place("Four"), t=text) == "Four goes on"
+    assert one(spark, report.sentence_at(F.col("t"), F.lit(999), F.lit(1)), t=text) == ""
+    kind = report.derived_category(F.col("c"), F.col("v"))
+    assert [one(spark, kind, c=c, v=v) for c, v in (("alignment_artifact", "pg_correct"), ("wrong_word", "pg_correct"), ("wrong_word", "ambiguous"), ("wrong_word", "?"))] == ["alignment_artifact", "intentional_change", "wrong_word", "ambiguous"]
+    assert [one(spark, report.severity(F.col("c")), c=c) for c in ("missing_content", "wrong_word", "punctuation_diff", "formatting_error", "x")] == ["critical", "high", "medium", "low", "info"]
+
+
+def test_clues(spark):
+    header = "Title: X\nPublished by London: Macmillan and Co. 1884\nProduced by A Person\nSource: https://archive.org/details/scan123/page\nA first edition"
+    df = spark.createDataFrame([(header,), ("nothing",)], "h string")
+    got = [r.asDict() for r in df.select(*(c.alias(k) for k, c in editions.clues(F.col("h")).items())).collect()]
+    assert got[0] == {"pg_publisher": "Macmillan and Co. 1884", "pg_city": "London", "pg_year": "1884", "pg_first": True, "pg_source_scan": "scan123", "pg_producer": "A Person"}
+    assert got[1]["pg_publisher"] == "" and got[1]["pg_year"] == "" and got[1]["pg_first"] is False
+
+
 def test_report(spark):
     rows = [(1, 1, "approxmately", "approximately", "ocr_scanno", 0.9, 5, 3), (1, 2, "a", "(absent in scan)", "extra_word", 0.9, 1, 3), (1, 3, "x", "y", "alignment_artifact", 0.1, 1, 4)]
     errors = spark.createDataFrame(rows, "book_id long, seq long, pg_text string, scan_text string, category string, confidence double, pg_file_line long, scan_page long")

@@ -99,3 +99,20 @@ def line_break_result(col_a: Column, col_b: Column, endings: Column, sequence: C
     total = F.greatest(F.lit(0.0), 1 - apart / F.greatest(col_a, col_b)) * 0.5 + endings * 0.3 + sequence * 0.2
     result = F.when(apart > 5, "mismatch").when(total >= 0.6, "match").when(total >= 0.3, "possible").otherwise("mismatch")
     return result, F.when(apart > 5, F.least(total, F.lit(0.4))).otherwise(total)
+
+
+def clues(header: Column) -> dict[str, Column]:
+    """What a text's header says of its edition: publisher, city, year, first edition, source scan, producer."""
+    line = F.trim(F.regexp_extract(header, r"(?i)(?:Edition:?\s*)?Published by[:\s]+([^\n]+)", 1))
+    place, house = (F.regexp_extract(line, r"^([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\s*[,:]\s*(.+)", k) for k in (1, 2))
+    placed = (place != "") & (F.length(place) < 20)
+    publisher = F.when(placed, F.trim(house)).otherwise(line)
+    dated = F.regexp_extract(header, r"(?i)(?:Copyright|Published|Edition|Printed)\s+(?:in\s+)?([0-9]{4})", 1)
+    return {
+        "pg_publisher": publisher,
+        "pg_city": F.when(placed, F.trim(place)).otherwise(F.lit("")),
+        "pg_year": F.when(dated != "", dated).otherwise(F.regexp_extract(publisher, r"([0-9]{4})", 1)),
+        "pg_first": header.rlike(r"(?i)first\s+edition"),
+        "pg_source_scan": F.regexp_extract(header, r"(?i)Source\s*:\s*https?://archive\.org/details/([^\s/\"]+)", 1),
+        "pg_producer": F.trim(F.regexp_extract(header, r"(?m)^Produced by[:\s]+(.+)", 1)),
+    }

@@ -14,6 +14,39 @@ def arrow_fix(a: Column, b: Column, line: Column, note: Column | None = None) ->
     return said if note is None else F.concat(said, F.lit(" ["), note, F.lit("]"))
 
 
+def derived_category(category: Column, verdict: Column) -> Column:
+    """an artefact stays one; a verdict for the base text or the edition wins over the candidate's category."""
+    return (
+        F.when(category == "alignment_artifact", category)
+        .when(verdict == "edition_variant", "edition_variant")
+        .when(verdict == "intentional_modernization", "modernization")
+        .when(verdict == "pg_correct", "intentional_change")
+        .when(verdict.isin("scan_correct", "unable_to_verify", "ambiguous"), category)
+        .otherwise("ambiguous")
+    )
+
+
+def severity(category: Column) -> Column:
+    """F52."""
+    return (
+        F.when(category == "missing_content", "critical")
+        .when(category.isin("ocr_scanno", "wrong_word", "missing_word"), "high")
+        .when(category.isin("extra_word", "missing_punctuation", "encoding_error", "punctuation_diff"), "medium")
+        .when(category == "formatting_error", "low")
+        .otherwise("info")
+    )
+
+
+def sentence_at(text: Column, offset: Column, length: Column) -> Column:
+    """The sentence around a place, on one line and without italics marks; '' outside the text."""
+    head, rest = F.substring(text, F.lit(1), offset), F.substring(text, offset + 1, F.length(text))
+    before = F.regexp_extract(head, r"[^.!?]*$", 0)
+    here, after = F.substring(rest, F.lit(1), length), F.substring(rest, length + 1, F.length(text))
+    end = F.regexp_extract(after, r"^(?:[^.!?\n]|\n(?!\n))*[.!?]?", 0)
+    said = F.replace(F.trim(F.regexp_replace(F.concat(before, here, end), r"\s+", " ")), F.lit("_"), F.lit(""))
+    return F.when((offset < 0) | (offset >= F.length(text)), "").otherwise(said)
+
+
 def page_url(scan: Column, page: Column) -> Column:
     """S72."""
     return F.concat(F.lit("https://archive.org/details/"), scan, F.lit("/page/n"), page.cast("string"), F.lit("/mode/1up"))
