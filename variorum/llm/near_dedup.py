@@ -187,9 +187,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = known.groupBy("key_a", "key_b").agg(F.min("id").alias("rep"))
     members = known.select("id", "key_a", "key_b").join(classes, ["key_a", "key_b"])
     reps = known.join(classes.withColumnRenamed("rep", "id"), ["id", "key_a", "key_b"], "left_semi")
-    entries = reps.select(F.col("id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.min("rep").alias("leader"), F.min_by("n", "rep").alias("leader_n"), F.max("rep").alias("last")).filter("leader <> last").select("bucket", "leader", "leader_n")
-    met = cut(entries.join(shared, "bucket").filter("rep <> leader").select("bucket", "rep", "n", "leader", "leader_n"))
+    entries = reps.select(F.col("id").alias("rep"), F.explode("bands").alias("bucket"))
+    shared = entries.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("leader <> last").select("bucket", "leader")
+    sizes = reps.select("id", F.col("n_shingles").alias("n")).distinct()
+    pairs = entries.join(shared, "bucket").filter("rep <> leader").select("leader", "rep").distinct()
+    met = cut(pairs.join(sizes.toDF("rep", "n"), "rep").join(sizes.toDF("leader", "leader_n"), "leader"))
 
     def similar_sizes(a: str, b: str):
         return F.expr(f"least({a}, {b}) * {den} >= greatest({a}, {b}) * {num}")
@@ -206,7 +208,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the members of all buckets that a class leads are its family; where they lie in several
     # components, those outside the leader's meet the whole family, in blocks
     own, first = F.coalesce("component", "rep"), F.coalesce("component", "leader")
-    family = met.select("leader", "rep").distinct().join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("leader", "rep", own.alias("own"))
+    family = met.select("leader", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("leader", "rep", own.alias("own"))
     family = family.join(labels.withColumnRenamed("node", "leader"), "leader", "left").select("leader", "rep", "own", (F.col("own") != first).alias("out"))
     mixed = family.groupBy("leader").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.sum(F.col("out").cast("long")).alias("outs"), F.count("*").alias("size")).filter("low <> high")
     mixed = mixed.select("leader", F.ceil(F.col("outs") / BLOCK_MEMBERS).cast("int").alias("asking"), F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int").alias("asked"))
