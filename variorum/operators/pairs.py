@@ -1,11 +1,117 @@
-"""Pairs of near-copy editions among texts, found by one MinHash value and confirmed."""
+"""Pairs of near-copy editions among texts, found by MinHash and confirmed."""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from variorum.functions import text as T
+from variorum.runtime import cut
+
+_U = np.uint64
+#: fixed values: a pair at 0.5 shares none of the bands with a chance of (1 - 0.5**ROWS)**BANDS, 4e-8
+BANDS, ROWS = 128, 3
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A bijective 64-bit finaliser (splitmix64)."""
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+def _shingles(column: pa.ListArray, k: int) -> Iterator[np.ndarray]:
+    """Per row of word hashes the sorted distinct hashes of its runs of k words."""
+    offs, words = column.offsets.to_numpy(), column.values.to_numpy().view(_U)
+    for i, j in zip(offs[:-1], offs[1:], strict=True):
+        m = max(0, j - i - k + 1)
+        out = np.full(m, k, _U)
+        for n in range(k):
+            out = _mix(out ^ words[i + n : i + n + m]) if m else out
+        yield np.unique(out)
+
+
+def _class(s: np.ndarray) -> int:
+    """One number for equal sets."""
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def _bands(s: np.ndarray) -> np.ndarray:
+    """One hash for each band of ROWS MinHash values; shingle hashes are mixed already, so odd factors reorder them."""
+    factors = _mix(np.arange(1, BANDS * ROWS + 1, dtype=_U)) | _U(1)
+    step = max(1, (1 << 15) // s.size)
+    least = np.concatenate([(s[None, :] * factors[i : i + step, None]).min(1) for i in range(0, factors.size, step)]).reshape(BANDS, ROWS)
+    out = np.arange(BANDS, dtype=_U)
+    for n in range(ROWS):
+        out = _mix(out ^ least[:, n])
+    return out
+
+
+def _sketcher(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(_shingles(batch.column(1), k))
+            bands = pa.array([_bands(s).view(np.int64) if s.size else np.zeros(0, np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_class(s) for s in sets], pa.int64()), pa.array([s.size for s in sets], pa.int64()), bands], names=["doc_id", "cls", "n", "bands"])
+
+    return run
+
+
+def _setter(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(_shingles(batch.column(2), k))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_class(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "text", "cls", "s"])
+
+    return run
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        for a, b in zip(batch.column(2), batch.column(3), strict=True):
+            a, b = np.frombuffer(a.as_buffer(), _U), np.frombuffer(b.as_buffer(), _U)
+            both = np.intersect1d(a, b, assume_unique=True).size
+            found.append(both / (a.size + b.size - both))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["u", "v", "jaccard"])
+
+
+def near_pairs(docs: DataFrame, shingle_words: int = 5, least: float = 0.5) -> DataFrame:
+    """(a_id, b_id, jaccard, a_text, b_text), a_id < b_id: all pairs with least < jaccard < 1.
+
+    Texts of equal shingle sets are one class, which is sketched once. Classes that
+    share a band of MinHash values are candidates, and all of these are confirmed on
+    the full sets of 64-bit hashes; a pair above 0.5 is missed with a chance of
+    4e-8 at most. A pair of classes gives the pairs of all their texts, so the rows
+    grow with the square of a group of near copies. Texts shorter than a shingle and
+    null texts are in no pair, nor is a row paired with one of its own id.
+    """
+    kind = dict(docs.dtypes)["doc_id"]
+    hashed = F.coalesce(F.transform(T.tokens(F.col("text")), lambda w: F.xxhash64(w)), F.array().cast("array<long>")).alias("w")
+    sketched = cut(docs.select("doc_id", hashed).mapInArrow(_sketcher(shingle_words), f"doc_id {kind}, cls long, n long, bands array<long>").filter("n > 0"))
+    entries = sketched.dropDuplicates(["cls"]).select("cls", "n", F.explode("bands").alias("band"))
+    shared = entries.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1").select("band")
+    shared = cut(entries.join(shared, "band", "left_semi").select("cls", "n", "band"))
+    u, v = shared.toDF("u", "u_n", "band"), shared.toDF("v", "v_n", "band")
+    # alike above `least` means that the smaller set has more than that share of the larger
+    sizes = F.least("u_n", "v_n") > least * F.greatest("u_n", "v_n")
+    met = cut(u.join(v, "band").filter((F.col("u") < F.col("v")) & sizes).select("u", "v").distinct())
+    classes = met.select(F.col("u").alias("cls")).unionByName(met.select(F.col("v").alias("cls"))).distinct()
+    ids = sketched.join(classes, "cls", "left_semi").select("doc_id").distinct()
+    own = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("doc_id", "text", hashed)
+    own = cut(own.mapInArrow(_setter(shingle_words), f"doc_id {kind}, text string, cls long, s binary"))
+    sets = own.select("cls", "s").dropDuplicates(["cls"])
+    both = met.join(sets.toDF("u", "u_s"), "u").join(sets.toDF("v", "v_s"), "v").select("u", "v", "u_s", "v_s")
+    alike = cut(both.mapInArrow(_alike, "u long, v long, jaccard double").filter((F.col("jaccard") > least) & (F.col("jaccard") < 1)))
+    texts = own.select("cls", F.struct("doc_id", "text").alias("x"))
+    out = alike.join(texts.toDF("u", "x"), "u").join(texts.toDF("v", "y"), "v").filter("x.doc_id <> y.doc_id")
+    out = out.select("jaccard", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return out.select(F.col("a.doc_id").alias("a_id"), F.col("b.doc_id").alias("b_id"), "jaccard", F.col("a.text").alias("a_text"), F.col("b.text").alias("b_text"))
 
 
 def edition_pairs(docs: DataFrame, shingle_words: int = 5, least: float = 0.5) -> DataFrame:
@@ -14,6 +120,7 @@ def edition_pairs(docs: DataFrame, shingle_words: int = 5, least: float = 0.5) -
     A block holds the texts whose shingles have the same least md5, a MinHash of one
     value; a block's texts meet its first, never each other, so a block of n texts
     gives n - 1 pairs. Texts shorter than a shingle and null texts have no block.
+    This is what the SQL of near_copy_pairs says; near_pairs has all pairs.
     """
     k = shingle_words
     words = docs.select("doc_id", "text", T.tokens(F.col("text")).alias("w")).filter(F.size("w") >= k)

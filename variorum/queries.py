@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from variorum.functions import lexicon
 from variorum.functions import text as T
 from variorum.operators import diff, rules, variants
-from variorum.operators.pairs import edition_pairs
+from variorum.operators.pairs import edition_pairs, near_pairs
 from variorum.registry import QUERIES, SQL, Query, query
 from variorum.runtime import table
 
@@ -340,7 +340,7 @@ def near_copy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _diff(mode: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        pairs = edition_pairs(table(spark, sf_dir, "documents")).filter("jaccard < 1").select("a_id", "b_id", "a_text", "b_text")
+        pairs = near_pairs(table(spark, sf_dir, "documents")).select("a_id", "b_id", "a_text", "b_text")
         return diff.candidates(diff.hunks(pairs, ["a_id", "b_id"], mode=mode))
 
     return run

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from variorum.functions import lexicon
 from variorum.functions import text as T
 from variorum.operators import align, anchors, dictionary, editions, gaps, pages, score
-from variorum.operators.pairs import edition_pairs
+from variorum.operators.pairs import near_pairs
 from variorum.plans import compare, errata, verify
 from variorum.registry import SQL, query
-from variorum.runtime import table
+from variorum.runtime import cut, table
 from variorum.sources import html as web
 from variorum.streaming import events as stream
 from variorum.streaming import tracker
@@ -463,28 +463,36 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- whole plans, over near copies: the smaller text as the book, the larger as its page
 
 
-def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    pairs = edition_pairs(table(spark, sf_dir, "documents")).filter("jaccard < 1")
-    return pairs.select(F.col("b_id").alias("book_id"), F.col("a_text").alias("body_text")), pairs.select(F.col("b_id").alias("book_id"), F.lit(0).cast("long").alias("page_num"), F.col("b_text").alias("text"))
+def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Books, their pages, and (book_id, a_id, b_id): each pair is a book of its own, since a text has as many pairs as near copies."""
+    pairs, key = cut(near_pairs(table(spark, sf_dir, "documents"))), F.xxhash64("a_id", "b_id").alias("book_id")
+    return pairs.select(key, F.col("a_text").alias("body_text")), pairs.select(key, F.lit(0).cast("long").alias("page_num"), F.col("b_text").alias("text")), pairs.select(key, "a_id", "b_id")
+
+
+def _named(found: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows with the larger text's id as book_id, as its page is named, and the smaller's as a_id."""
+    return found.join(ids, "book_id").select("a_id", F.col("b_id").alias("book_id"), *[c for c in found.columns if c != "book_id"])
 
 
 @query("errata_errors")
 def errata_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The errata plan's errors."""
-    return errata.run(*_near(spark, sf_dir)).errors
+    books, own, ids = _near(spark, sf_dir)
+    return _named(errata.run(books, own).errors, ids)
 
 
 @query("edition_variants")
 def edition_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C4: the comparison plan's variants."""
-    return compare.run(*_near(spark, sf_dir))
+    books, own, ids = _near(spark, sf_dir)
+    return _named(compare.run(books, own), ids)
 
 
 @query("edition_line_breaks")
 def edition_line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line breaks of near copies against each other."""
-    books, own = _near(spark, sf_dir)
-    return verify.line_breaks(books.withColumnRenamed("body_text", "text"), own.select("book_id", "text"))
+    books, own, ids = _near(spark, sf_dir)
+    return _named(verify.line_breaks(books.withColumnRenamed("body_text", "text"), own.select("book_id", "text")), ids)
 
 
 # --- dictionary, anchors, body
