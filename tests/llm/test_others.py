@@ -126,6 +126,27 @@ def test_tagger_on_held_out_passages():
     assert right / found > 0.9 and right / there > 0.9
 
 
+class Exact:
+    """Tags runs of hexadecimal digits as secrets, as far as the window shows them."""
+
+    def decode(self, chars):
+        on = np.isin(chars, [ord(c) for c in "0123456789abcdef"])
+        out = np.where(on, 2 + 2 * pii.TAGGED.index("secret"), 0)
+        out[:, 1:] -= on[:, 1:] & ~on[:, :-1]
+        return out
+
+
+@pytest.mark.parametrize("n", [40, 49, 64, 96, 97, 128, 150, 400])
+def test_secrets_longer_than_a_stride_are_one_span(n):
+    secret, kind = ("0123456789abcdef" * 25)[:n], pii.TAGGED.index("secret")
+    for at in range(100):
+        for tail in (0, 60, 200):
+            text = ("x@" * 60)[:at] + secret + "x@" * tail
+            assert pii.tagged_spans(Exact(), [text])[0] == [(at, kind, at + n)], (at, tail)
+    two = "x@ " * 9 + secret + " x " + secret + " x"
+    assert [e - s for s, _, e in pii.tagged_spans(Exact(), [two])[0]] == [n, n]
+
+
 def test_pii_edges_and_redaction(spark):
     long = "x " * 3000 + "me@mail.example.com" + " y" * 3000
     rows = [(1, "call +1 (555) 123-4567 or me@mail.example.com", 5), (2, None, 6), (3, "", 7), (None, "1.2.3.4", 8), (4, long, 9), (4, long, 9)]

@@ -311,15 +311,32 @@ def reconcile(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, in
     return sorted(out)
 
 
+def united(pieces: list[tuple[int, int, int, bool, bool]]) -> list[tuple[int, int, int, int]]:
+    """(start, kind, end, weight) of pieces (start, kind, end, and whether a window cut the start or the end).
+
+    A piece with a cut start goes on from those of its kind with a cut end that it
+    overlaps or touches. What is whole weighs its length twice.
+    """
+    groups: list[list] = []  # start, kind, end, cut start, cut end, how far pieces with a cut end reach
+    for s, k, e, late, early in sorted(pieces):
+        own = [s, k, e, late, early, e if early else -1]
+        for x in [x for x in groups if late and x[1] == k and x[5] >= s]:
+            groups.remove(x)
+            first, last = min(x, own, key=lambda g: (g[0], g[3])), max(x, own, key=lambda g: (g[2], not g[4]))
+            own = [first[0], k, last[2], first[3], last[4], max(x[5], own[5])]
+        groups.append(own)
+    return [(s, k, e, (1 if late or early else 2) * (e - s)) for s, k, e, late, early, _ in groups]
+
+
 def tagged_spans(tagger: Tagger, texts: list[str], batch: int = 256) -> list[list[tuple[int, int, int]]]:
     """Per text the tagger's spans (start, kind, end), reconciled over all of its windows.
 
-    A span that touches a window's edge inside the text may go on beyond it and
-    counts only in a window that holds it with what surrounds it; longer spans than
-    a window are joined from their pieces.
+    A span that touches a window's edge inside the text may go on beyond it; such
+    pieces are united with those that they go on in, then weighed, so that a span of
+    any length that no window holds is one span.
     """
     work = [(n, s, e) for n, text in enumerate(texts) for s, e in windows(text)]
-    found: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
+    found: list[list[tuple[int, int, int, bool, bool]]] = [[] for _ in texts]
     for at in range(0, len(work), batch):
         part = work[at : at + batch]
         chars = np.full((len(part), WINDOW), 32, np.int64)
@@ -330,12 +347,11 @@ def tagged_spans(tagger: Tagger, texts: list[str], batch: int = 256) -> list[lis
             for i in range(e - s + 1):
                 tag = int(tags[i]) if i < e - s else 0
                 if begin is not None and (tag == 0 or tag % 2 or (tag - 1) // 2 != begin[1]):
-                    inside = (begin[0] > 0 or s == 0) and (i < e - s or e == len(texts[n]))
-                    found[n].append((s + begin[0], begin[1], s + i, (2 if inside else 1) * (i - begin[0])))
+                    found[n].append((s + begin[0], begin[1], s + i, begin[0] == 0 and s > 0, i == e - s and e < len(texts[n])))
                     begin = None
                 if tag and begin is None:
                     begin = (i, (tag - 1) // 2)
-    return [reconcile(x) for x in found]
+    return [reconcile(united(x)) for x in found]
 
 
 def _finder(tagger: Tagger):
