@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from variorum.llm import decontaminate, near_dedup, packing, pii, quality
 from variorum.llm.queries import tokenizer_path
-from variorum.runtime import attach, table
+from variorum.runtime import attach, cut, table
 
 ORACLE_SQL = None
 
@@ -25,10 +25,22 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, five-word shingles at 0.8, the document of smallest id."""
+    """Of each component of near duplicates, five-word shingles at 0.8, the document of smallest id.
+
+    Where ids repeat, rows of equal id and text are one, and each text is a document
+    of its own, of which a component keeps the one of smallest id, then of least text
+    hash: a text isn't dropped for another one of its id. Rows with a null id are kept.
+    """
     attach(spark)
-    gone = near_dedup.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    found = cut(near_dedup.near_duplicates(docs))
+    if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return docs.join(found.filter("not kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    own = docs.filter("doc_id is not null").dropDuplicates(["doc_id", "text"])
+    own = cut(own.withColumn("__row", F.monotonically_increasing_id()))
+    parts = near_dedup.near_duplicates(own, "__row").select("__row", "component_id")
+    named = own.select("__row", F.struct("doc_id", F.xxhash64("text"), "__row").alias("first")).join(parts, "__row")
+    kept = named.groupBy("component_id").agg(F.min("first")["__row"].alias("__row")).select("__row")
+    return own.join(kept, "__row", "left_semi").select(docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from variorum.llm import near_dedup as N
 from variorum.llm.components import components
 from variorum.llm.words import seeds, shingle_sets
@@ -95,3 +96,21 @@ def test_words_are_split_at_ascii_white_space_alone():
     sets = list(shingle_sets(pa.array(["a b c", "A b C", None, "", "É x", "é x"]), 2))
     assert [s.size for s in sets] == [1, 1, 0, 0, 1, 1]
     assert (sets[0] == sets[1]).all() and sets[4][0] != sets[5][0]
+
+
+def test_pipeline_keeps_one_of_each_where_ids_repeat(spark):
+    rng = random.Random(4)
+    a, b, c = (" ".join(f"{x}{rng.randint(0, 400)}" for _ in range(40)) for x in "abc")
+    near = [(1, a), (2, a + " z"), (2, b), (3, c), (3, c), (4, b), (5, c + " z"), (6, None), (6, None), (6, ""), (7, a), (7, a + " y"), (None, a)]
+    rows = [(i, t, k % 2) for k, (i, t) in enumerate(near)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    got = sorted((r.doc_id or 0, r.text or "") for r in corpus_pipeline.keep_one_of_each(spark, df, "").collect())
+    assert got == sorted([(1, a), (2, b), (3, c), (6, ""), (6, ""), (0, a)])
+    got = [r.doc_id or 0 for r in corpus_pipeline.keep_one_of_each(spark, spark.createDataFrame([(1, a, 0), (2, a + " z", 0), (3, c, 0), (4, c, 0), (5, b, 0)], df.schema), "").collect()]
+    assert sorted(got) == [1, 3, 5]
+
+
+def test_pipeline_keeps_either_text_of_the_same_id_and_component_once(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    df = spark.createDataFrame([(5, text), (5, text + " z"), (9, "other words than those of the rest")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, df, "").collect()) == [5, 9]
