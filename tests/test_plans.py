@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from variorum.operators import score
 from variorum.plans import compare, errata, verify
 
 
@@ -63,3 +64,22 @@ def test_verification(spark):
     clues = spark.createDataFrame([(k, "Harper", "1880", "A", "", False, "Harper", "1881", "A", "", "", "scan3" if k == 3 else None, f"scan{k}") for k in (1, 2, 3)], cols)
     got = {r.book_id: (r.result, r.confidence) for r in verify.run(clues, texts, scans).orderBy("book_id").select("book_id", "result", F.round("confidence", 2).alias("confidence")).collect()}
     assert got[1][0] == "match" and got[1][1] >= 0.8 and got[2] == ("match", 0.6) and got[3] == ("match", 1.0)
+
+
+def test_accents_of_words_that_occur_once_are_replacements(spark):
+    parts = book(5)
+    a, b = (" ".join([*parts[4].split()[:20], word, *parts[4].split()[20:]]) for word in ("regime", "régime"))
+    books = spark.createDataFrame([(1, "\n\n".join([*parts[:4], a, *parts[5:]]))], "book_id long, body_text string")
+    pages = spark.createDataFrame([(1, k, p) for k, p in enumerate([*parts[:4], b, *parts[5:]])], "book_id long, page_num long, text string")
+    got = errata.run(books, pages).replacements.filter("scan_root = 'régime'").collect()
+    assert [(r.pg_root, r.caught, r.occurrences) for r in got] == [("regime", 1, 1)]
+
+
+def test_promotion_of_accents(spark):
+    rows = [(1, 1, 1, "role,", "rôle,"), (1, 2, 1, "Role,", "Rôle,"), (1, 1, 2, "known", "knówn"), (1, 1, 3, "two words", "twó words"), (1, 1, 4, "tne", "the"), (1, 1, 5, "absent", "absént"), (1, 1, 6, "a", "à"), (1, 1, 7, "<i>fete</i>", "fête"), (2, 1, 1, "role,", "rôle,"), (2, 1, 2, None, "é")]
+    errors = spark.createDataFrame(rows, "book_id long, scan_page long, seq int, pg_text string, scan_text string")
+    books = spark.createDataFrame([(1, "A Role, a role, known. tne a fetes"), (2, "the role, of it")], "book_id long, body_text string")
+    known = spark.createDataFrame([("Known", "Knówn", 1, 2, [1])], "pg_root string, scan_root string, caught long, occurrences long, pages array<long>")
+    got = score.promoted(errors, books, known)
+    assert got.columns == known.columns
+    assert sorted((r.pg_root, r.scan_root, r.caught, r.occurrences, r.pages) for r in got.collect()) == [("fete", "fête", 1, 1, []), ("role,", "rôle,", 2, 3, [])]

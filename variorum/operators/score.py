@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from variorum.functions import lexicon
 from variorum.functions import text as T
+from variorum.operators.dictionary import diacritic_change
 
 # fixed values: the weights of the score's parts, and the verdicts' limits
 CONTEXT, EDIT, ALIGN, LENGTH = 0.45, 0.20, 0.20, 0.15
@@ -147,12 +149,32 @@ def global_replacements(cands: DataFrame, words: DataFrame, page: str = "item_id
     """(pg_root, scan_root, caught, occurrences, pages) of replacements whose word the base text has often enough.
 
     words is a table of the base text's words (word); occurrences are counted by
-    grouping it. A capitalised replacement needs one occurrence (Q24).
+    grouping it. A capitalised replacement needs one occurrence (Q24), and so does one
+    that changes accents and ligatures alone.
     """
     pairs = replacement_pairs(cands).groupBy("pg_root", "scan_root").agg(F.count("*").alias("caught"), F.array_sort(F.collect_set(page)).alias("pages"))
     counts = words.groupBy(F.col("word").alias("pg_root")).agg(F.count("*").alias("occurrences"))
     capital = F.substring("scan_root", 1, 1).rlike(r"\p{Lu}")
-    return pairs.join(counts, "pg_root").filter(F.col("occurrences") >= F.when(capital, 1).otherwise(least))
+    accents = diacritic_change(F.col("pg_root"), F.col("scan_root"))
+    return pairs.join(counts, "pg_root").filter(F.col("occurrences") >= F.when(capital | accents, 1).otherwise(least))
+
+
+def promoted(errors: DataFrame, books: DataFrame, known: DataFrame) -> DataFrame:
+    """Single-word errors whose scan has an accent or ligature, as further rows of global_replacements, which `known` has.
+
+    The base text is searched for the word in either case, within longer words too.
+    A pair of words counts once a book, as its first error has it, without pages.
+    """
+    raw = [F.lower(F.coalesce(c, F.lit(""))) for c in ("pg_text", "scan_text")]
+    clean = [F.trim(F.regexp_replace(c, "<[^>]+>", "")) for c in ("pg_text", "scan_text")]
+    own = errors.filter(lexicon.has_mark(F.col("scan_text")) & ~F.trim("pg_text").contains(" ") & ~F.trim("scan_text").contains(" ")).withColumns({"a": raw[0], "b": raw[1], "x": clean[0], "y": clean[1]})
+    own = own.join(known.select(F.lower("pg_root").alias("a"), F.lower("scan_root").alias("b")).distinct(), ["a", "b"], "left_anti").filter("length(x) >= 2")
+    first = own.groupBy("book_id", F.lower("x").alias("a"), F.lower("y").alias("b")).agg(F.min(F.struct("scan_page", "seq", "x", "y")).alias("e"))
+    body = F.lower("body_text")
+    times = (F.length(body) - F.length(F.replace(body, F.col("a"), F.lit("")))) / F.length("a")
+    found = first.join(books.select("book_id", "body_text"), "book_id").select("book_id", "a", "b", "e", times.cast("long").alias("n")).filter("n > 0")
+    out = found.groupBy("a", "b").agg(F.min_by("e", "book_id").alias("e"), F.count("*").alias("caught"), F.sum("n").alias("occurrences"))
+    return out.select(F.col("e.x").alias("pg_root"), F.col("e.y").alias("scan_root"), "caught", "occurrences", F.array().cast(known.schema["pages"].dataType).alias("pages"))
 
 
 def dedup_exact(scored: DataFrame, keys: list[str], offset: str = "pg_offset", total: str = "score") -> DataFrame:

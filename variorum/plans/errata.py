@@ -49,4 +49,6 @@ def run(books: DataFrame, own: DataFrame, mode: str = "recursive", strict: bool
     errors = scored.select("book_id", "scan_page", "seq", "pg_text", "scan_text", "category", "diff_description", "pg_offset", "pg_offset_ref", F.col("score").alias("confidence"), "verdict", "filter_name")
     words = books.select(F.explode(F.split("body_text", r"[^\p{L}\p{N}_]+")).alias("word")).filter("word <> ''")
     missing = gaps.all_gaps(pages.page_map(cleaned, "book_id", "page_num"), aligned, books.withColumnRenamed("body_text", "book_text"), "book_id", "page_num")
-    return Errata(aligned, found, errors, missing, score.global_replacements(errors, words, "scan_page"), report.summary(errors))
+    replaced = score.global_replacements(errors, words, "scan_page")
+    replaced = replaced.unionByName(score.promoted(errors, books, replaced))
+    return Errata(aligned, found, errors, missing, replaced, report.summary(errors))
