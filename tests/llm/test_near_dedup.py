@@ -85,13 +85,34 @@ def test_blocks_find_links_between_components():
     assert list(N._block_links(rows, 4, 5)) == [(2, 1)]
 
 
-def test_chains_are_one_component(spark):
-    links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5), (None, 3)], "u long, v long")
-    got = {r.node: r.component for r in components(links).collect()}
-    assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
+@pytest.mark.parametrize("task_links", [1 << 18, 20])
+def test_chains_are_one_component(spark, task_links):
+    links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (5, 5), (None, 3)], "u long, v long")
+    got = sorted((r.node, r.component) for r in components(links, task_links).collect())
+    assert got == sorted({**dict.fromkeys(range(61), 0), 100: 100, 101: 100}.items())
     assert components(links.filter("false")).count() == 0
 
 
+def test_a_large_family_of_near_copies(spark):
+    """A thousand near copies of one text, far more than a block holds, of which not all are near one another."""
+    rng = random.Random(7)
+    base = [f"w{rng.randint(0, 2000)}" for _ in range(100)]
+    own = [" ".join(f"e{rng.randint(0, 99999)}" if rng.random() < 0.01 + k % 5 * 0.012 else w for w in base) for k in range(1000)]
+    rows = list(enumerate([*own, *["the same words every time"] * 40]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = N.near_duplicates(df, shingle_words=2).collect()
+    sets = np.zeros((1000, len(names := {x: n for n, x in enumerate(sorted({p for t in own for p in zip(t.split(), t.split()[1:])}))})), np.float32)
+    for k, t in enumerate(own):
+        sets[k, [names[p] for p in zip(t.split(), t.split()[1:])]] = 1
+    both, size = sets @ sets.T, sets.sum(1)
+    near = 5 * both >= 4 * (size[:, None] + size[None, :] - both)
+    label = np.arange(1000)
+    while (now := np.where(near, label[None, :], 1000).min(1)).tolist() != label.tolist():
+        label = now
+    assert len(set(label.tolist())) > 50 and np.bincount(label).max() > 500
+    assert {r.doc_id: r.component_id for r in found} == {**dict(enumerate(label.tolist())), **dict.fromkeys(range(1000, 1040), 1000)}
+
+
 def test_words_are_split_at_ascii_white_space_alone():
     sets = list(shingle_sets(pa.array(["a b c", "A b C", None, "", "É x", "é x"]), 2))
     assert [s.size for s in sets] == [1, 1, 0, 0, 1, 1]

@@ -25,6 +25,10 @@ _U = np.uint64
 _EMPTY = _U(0xFFFFFFFFFFFFFFFF)
 _LOW = _U(0xFFFFFFFF)
 BLOCK_MEMBERS = 512
+#: a class of more than one in so many rows is a hot one
+HOT_CLASSES = 1000
+#: as many bits, by a power of two, mark the ids whose sets are looked for
+MARK_BITS = 26
 
 
 def fast_sketch(x: np.ndarray, bins: int, salts: np.ndarray) -> np.ndarray:
@@ -79,9 +83,22 @@ def _sketcher(shingle_words: int, bands: int, rows: int):
     return run
 
 
-def _setter(shingle_words: int):
+def _marks(ids: DataFrame, bits: int) -> np.ndarray:
+    """2**bits bits in bytes, set where a hash of an id points; that many bits come to the driver, however many ids there are."""
+    at = ids.select(F.pmod(F.xxhash64("id"), F.lit(1 << bits)).alias("at")).select((F.col("at") + 1).alias("at"))
+    parts = at.groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("marks"))
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in parts.collect():
+        own = np.frombuffer(r.marks, np.uint8)
+        out[(r.part - 1) * own.size :][: own.size] = own
+    return out
+
+
+def _setter(shingle_words: int, marks: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array(marks[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0))
             sets = [s.tobytes() for s in shingle_sets(batch.column(1), shingle_words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
@@ -145,21 +162,21 @@ def _block_links(rows: list[tuple[int, int, bool, np.ndarray]], num: int, den: i
 
 def _block_linker(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, found = None, [], []
+        key, rows = None, []
 
-        def flush() -> None:
-            found.extend(_block_links(rows, num, den))
+        def flush() -> pa.RecordBatch:
+            found = list(_block_links(rows, num, den))
             rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
         for batch in batches:
             keys = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
             for at, rep, own, asks, shingles in zip(keys, *(batch.column(i).to_pylist() for i in range(3, 7)), strict=True):
                 if at != key:
-                    flush()
+                    yield flush()
                     key = at
                 rows.append((rep, own, asks, np.frombuffer(shingles, _U)))
-        flush()
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
+        yield flush()
 
     return run
 
@@ -171,8 +188,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     so copies, however many, cost one sketch entry. A class meets the smallest
     member of each bucket it is in, its leader; members of a leader's buckets that
     are not in its component then meet all its other members, in blocks that give
-    back only what joins components. Each link is confirmed on the full sets. A pair at the threshold has a chance of about (1 - 0.8**rows)**bands,
-    3e-7, to share no bucket.
+    back only what joins components. Each link is confirmed on the full sets. A pair
+    at the threshold has a chance of about (1 - 0.8**rows)**bands, 3e-7, to share no
+    bucket.
+
+    Classes of more than one in HOT_CLASSES rows, of which there are no more than
+    that, are broadcast to their rows, so that no task gets all copies of a text. A
+    block holds about BLOCK_MEMBERS sets that ask and as many that are asked. A
+    family of m members of which a are outside its leader's component has
+    a * m / BLOCK_MEMBERS**2 blocks, and sends (a + m) sets that often a side; m counts
+    different texts that share a bucket of `rows` equal coordinates with one text.
 
     Null or empty texts have no shingles and no links. Rows with a null id keep
     a null component and are kept. Repeated rows give repeated rows; where one id
@@ -184,43 +209,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     schema = "id long, n_shingles long, key_a long, key_b long, bands array<long>"
     sketched = cut(texts.mapInArrow(_sketcher(shingle_words, bands, rows), schema))
     known = sketched.filter("id is not null and n_shingles > 0")
-    classes = known.groupBy("key_a", "key_b").agg(F.min("id").alias("rep"))
-    members = known.select("id", "key_a", "key_b").join(classes, ["key_a", "key_b"])
-    reps = known.join(classes.withColumnRenamed("rep", "id"), ["id", "key_a", "key_b"], "left_semi")
+    classes = known.groupBy("key_a", "key_b").agg(F.min("id").alias("rep"), F.count("*").alias("size"))
+    reps = known.join(classes.select("key_a", "key_b", F.col("rep").alias("id")), ["id", "key_a", "key_b"], "left_semi")
     entries = reps.select(F.col("id").alias("rep"), F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("leader <> last").select("bucket", "leader")
-    sizes = reps.select("id", F.col("n_shingles").alias("n")).distinct()
-    pairs = entries.join(shared, "bucket").filter("rep <> leader").select("leader", "rep").distinct()
-    met = cut(pairs.join(sizes.toDF("rep", "n"), "rep").join(sizes.toDF("leader", "leader_n"), "leader"))
-
-    def similar_sizes(a: str, b: str):
-        return F.expr(f"least({a}, {b}) * {den} >= greatest({a}, {b}) * {num}")
-
-    nodes = met.select("rep").unionByName(met.select(F.col("leader").alias("rep"))).distinct().withColumnRenamed("rep", "id")
-    sets = cut(texts.join(nodes, "id", "left_semi").mapInArrow(_setter(shingle_words), "id long, shingles binary"))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        both = pairs.distinct().join(sets.toDF("u", "set_u"), "u").join(sets.toDF("v", "set_v"), "v")
-        return both.select("u", "v", "set_u", "set_v").mapInArrow(_verifier(num, den), "u long, v long")
-
-    links = cut(confirmed(met.filter(similar_sizes("n", "leader_n")).select(F.col("leader").alias("u"), F.col("rep").alias("v"))))
-    labels = cut(components(links))
+    met = cut(entries.join(shared, "bucket").filter("rep <> leader").select("leader", "rep").distinct())
+    nodes = met.select(F.col("rep").alias("id")).union(met.select("leader")).distinct()
+    # the sets of nodes alone travel; a mark that stands for other ids too costs a set on its way to the join
+    placed = texts.filter("id is not null").withColumn("at", F.pmod(F.xxhash64("id"), F.lit(1 << MARK_BITS)))
+    sets = placed.mapInArrow(_setter(shingle_words, _marks(nodes, MARK_BITS)), "id long, shingles binary")
+    sets = cut(sets.join(nodes, "id", "left_semi"))
+    both = met.join(sets.toDF("leader", "set_u"), "leader").join(sets.toDF("rep", "set_v"), "rep").select("leader", "rep", "set_u", "set_v")
+    labels = cut(components(cut(both.mapInArrow(_verifier(num, den), "u long, v long"))))
     # the members of all buckets that a class leads are its family; where they lie in several
     # components, those outside the leader's meet the whole family, in blocks
     own, first = F.coalesce("component", "rep"), F.coalesce("component", "leader")
-    family = met.select("leader", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("leader", "rep", own.alias("own"))
+    family = met.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("leader", "rep", own.alias("own"))
     family = family.join(labels.withColumnRenamed("node", "leader"), "leader", "left").select("leader", "rep", "own", (F.col("own") != first).alias("out"))
+    family = cut(family)
     mixed = family.groupBy("leader").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.sum(F.col("out").cast("long")).alias("outs"), F.count("*").alias("size")).filter("low <> high")
-    mixed = mixed.select("leader", F.ceil(F.col("outs") / BLOCK_MEMBERS).cast("int").alias("asking"), F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int").alias("asked"))
+    mixed = cut(mixed.select("leader", F.ceil(F.col("outs") / BLOCK_MEMBERS).cast("int").alias("asking"), F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int").alias("asked")))
     rest = family.join(mixed, "leader").withColumns({"i": F.pmod(F.xxhash64("rep", F.lit(2)), F.col("asking")).cast("int"), "j": F.pmod(F.xxhash64("rep", F.lit(1)), F.col("asked")).cast("int")})
     rest = rest.join(sets.toDF("rep", "shingles"), "rep")
     places = F.expr("transform(sequence(0, asking - 1), x -> struct(x as i, j as j, false as asks))")
     asking = F.expr("if(out, transform(sequence(0, asked - 1), x -> struct(i as i, x as j, true as asks)), array())")
     rest = rest.select("leader", "rep", "own", "shingles", F.explode(F.concat(places, asking)).alias("at")).select("leader", "at.i", "at.j", "rep", "own", "at.asks", "shingles")
     rest = rest.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
-    links = links.unionByName(rest.mapInArrow(_block_linker(num, den), "u long, v long"))
-    labels = cut(components(links))
-    found = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("id", "key_a", "key_b", F.coalesce("component", "rep").alias("component_id")).distinct()
-    out = sketched.select("id", "n_shingles", "key_a", "key_b").join(found, ["id", "key_a", "key_b"], "left")
-    component = F.coalesce("component_id", "id")
+    more = rest.mapInArrow(_block_linker(num, den), "u long, v long")
+    labels = components(cut(labels.toDF("u", "v").unionByName(more)))
+    named = classes.join(labels.toDF("rep", "component"), "rep", "left")
+    named = cut(named.select("key_a", "key_b", "size", F.coalesce("component", "rep").alias("component_id")))
+    hot = F.broadcast(named.filter(F.col("size") > sketched.count() / HOT_CLASSES).drop("size"))
+    rows_of = sketched.drop("bands")
+    cold = rows_of.join(hot, ["key_a", "key_b"], "left_anti").join(named.drop("size"), ["key_a", "key_b"], "left")
+    out = cold.unionByName(rows_of.join(hot, ["key_a", "key_b"]))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
