@@ -2,7 +2,7 @@ import random
 
 from tests.compare import plain, sql_rows
 from variorum import queries
-from variorum.operators.pairs import near_pairs
+from variorum.operators.pairs import linked_classes, near_pairs, nearest_pairs
 from variorum.runtime import table
 
 DATA = "/root/testdata/sf0.001"
@@ -39,7 +39,34 @@ def test_all_pairs_above_half_are_found(spark):
     assert all((r.a_text, r.b_text) == (texts[r.a_id], texts[r.b_id]) for r in got)
 
 
-def test_each_pair_is_a_book_of_its_own(spark):
-    pairs = {(r.a_id, r.b_id) for r in near_pairs(table(spark, DATA, "documents")).collect()}
+def test_links_of_classes_and_the_likest_of_smaller_id(spark):
+    for folder in (DATA, "/root/testdata/sf0.01"):
+        docs = table(spark, folder, "documents")
+        got = [(r.a_id, r.b_id, r.jaccard) for r in linked_classes(docs).collect()]
+        pairs = [(r.a_id, r.b_id, r.jaccard) for r in near_pairs(docs).collect()]
+        first = {b: a for a, b, j in got if j == 1}
+        named = {}
+        for a, b, j in pairs:
+            x, y = sorted((first.get(a, a), first.get(b, b)))
+            named[x, y] = j
+        assert {(a, b): j for a, b, j in got if j < 1} == named and len(got) == len(named) + len(first)
+        best = {}
+        for (a, b), j in named.items():
+            best[b] = min(best.get(b, (1, 0)), (-j, a))
+        near = nearest_pairs(docs).collect()
+        texts = {r.doc_id: r.text for r in docs.collect()}
+        assert {r.b_id: (-r.jaccard, r.a_id) for r in near} == best and len(near) == len(best)
+        assert all((r.a_text, r.b_text) == (texts[r.a_id], texts[r.b_id]) for r in near)
+
+
+def test_pairs_of_odd_tables(spark):
+    long = "one two three four five six seven eight"
+    df = spark.createDataFrame([(1, long, "x"), (1, long, "x"), (2, long, "x"), (3, None, "x"), (4, "", "x"), (None, long, "x")], "doc_id long, text string, cls string")
+    assert [(r.a_id, r.b_id, r.jaccard) for r in linked_classes(df).collect()] == [(1, 2, 1.0)] and nearest_pairs(df).count() == 0
+    assert linked_classes(df.filter("false")).count() == 0
+
+
+def test_each_text_with_a_likest_one_is_a_book_of_its_own(spark):
+    pairs = {(r.a_id, r.b_id) for r in nearest_pairs(table(spark, DATA, "documents")).collect()}
     got = [(r.a_id, r.book_id) for r in queries.QUERIES["edition_line_breaks"](spark, DATA).collect()]
     assert len(got) == len(pairs) and set(got) == pairs

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,48 +52,74 @@ HOLE_STOPS = (
     "she", "they", "we", "i", "you", "this", "that", "as",
 )
 
-# stems of words whose British and American spellings differ by a rule
-_OUR = "col fav hon rum behavi neighb lab harb vap hum flav arm endeav glam od parl rig sav spl tum val vig cand clam ferv misdemean ranc succ".split()
-_RE = "cent theat fib lit lust meag mit nit ochre:och sab scept sepulch somb spect cal goit manoeuv".split()
-_ISE = "apolog author bapt capital character civil critic dramat econom emphas familiar general harmon ideal legal local memor modern monopol neutral organ patron real recogn scandal special symbol sympath util visual".split()
-_LL = "cancel carol channel counsel cruel dial duel enamel equal fuel grovel jewel label level libel marvel model panel pencil quarrel rival shovel signal spiral travel tunnel".split()
-_OGUE = "catal dial epil mon anal prol trav ped".split()
-_CE = "def off pret lic".split()
-
-
-def us_uk_pairs() -> list[tuple[str, str]]:
-    """(British, American) spellings, from stems and endings; no identical pairs."""
-    out: list[tuple[str, str]] = []
-    for s in _OUR:
-        out += [(f"{s}our{e}", f"{s}or{e}") for e in ("", "s", "ed", "ing")]
-    for s in _RE:
-        s = s.rpartition(":")[2]
-        out += [(f"{s}re{e}", f"{s}er{e}") for e in ("", "s")]
-    for s in _ISE:
-        out += [(f"{s}is{e}", f"{s}iz{e}") for e in ("e", "es", "ed", "ing")]
-    for s in _LL:
-        out += [(f"{s}l{e}", f"{s}{e}") for e in ("ed", "ing", "er")]
-    for s in _OGUE:
-        out += [(f"{s}ogue{e}", f"{s}og{e}") for e in ("", "s")]
-    for s in _CE:
-        out += [(f"{s}ence", f"{s}ense")]
-    out += [("grey", "gray"), ("plough", "plow"), ("tyre", "tire"), ("kerb", "curb"), ("cheque", "check"), ("gaol", "jail"), ("storey", "story"), ("mould", "mold"), ("moustache", "mustache"), ("sceptical", "skeptical"), ("waggon", "wagon"), ("woollen", "woolen"), ("jewellery", "jewelry"), ("skilful", "skillful"), ("wilful", "willful"), ("fulfil", "fulfill"), ("enrol", "enroll"), ("instal", "install")]
-    return sorted({(a, b) for a, b in out if a != b})
+# British spellings and what they are in American ones, applied in this order to a whole
+# word in lower case; the patterns are rules of spelling, valid in Java's, RE2's and Python's syntax
+BRITISH = (
+    (r"^([a-z]{2,})our(s|ed|ing|ings|er|ers|able|ably|ite|ites|al|ful|less|hood|hoods|y|ly)?$", r"\1or\2"),
+    (r"^([a-z]*)oeuvring$", r"\1euvering"),
+    (r"^([a-z]*)oeuvr([a-z]*)$", r"\1euvr\2"),
+    (r"^([a-z]+)([bghtv])re$", r"\1\2er"),
+    (r"^([a-z]+)([bghtv])red$", r"\1\2ered"),
+    (r"^([a-z]+)([bghtv])re(s|ly)$", r"\1\2er\3"),
+    (r"^([a-z]{3,}|ag)is(e|es|ed|ing|er|ers|able|ant|ation|ations|ement|ements)$", r"\1iz\2"),
+    (r"^([a-z]+)lys(e|es|ed|ing|er|ers)$", r"\1lyz\2"),
+    (r"^(def|off|pret|lic)enc(e|es|ing)$", r"\1ens\2"),
+    (r"^([a-z]{2,})ogu(ed|ing)$", r"\1og\2"),
+    (r"^([a-z]{2,})ogue(s)?$", r"\1og\2"),
+    (r"^([a-z]*[aeiou][a-z]*[^aeiou][aeiou]|fue|due)ll(ed|ing|ings|er|ers|or|ors)$", r"\1l\2"),
+    (r"^([a-z]+)xion(s)?$", r"\1ction\2"),
+    (r"^([a-z]+)dgement(s)?$", r"\1dgment\2"),
+    (r"^([a-z]*)ae([a-z]+)$", r"\1e\2"),
+    (r"^(|f|gonorrh|am|diarrh|hom|prot|phil)oe([a-z]+)$", r"\1e\2"),
+    (r"^(m|sm)ould([a-z]*)$", r"\1old\2"),
+    (r"^plough([a-z]*)$", r"plow\1"),
+    (r"^grey([a-z]*)$", r"gray\1"),
+    (r"^sceptic([a-z]*)$", r"skeptic\1"),
+    (r"^despatch([a-z]*)$", r"dispatch\1"),
+)
+
+# fixed values: (American, British) words that no rule above has
+SPELLINGS = (
+    ("practise", "practice"), ("aging", "ageing"), ("aluminum", "aluminium"), ("appall", "appal"), ("artifact", "artefact"), ("artifacts", "artefacts"),
+    ("ax", "axe"), ("balk", "baulk"), ("carburetor", "carburettor"), ("carburetors", "carburettors"), ("chili", "chilli"), ("collectible", "collectable"),
+    ("cooperation", "co-operation"), ("coordination", "co-ordination"), ("czar", "tsar"), ("diaper", "nappy"), ("disc", "disk"), ("distill", "distil"),
+    ("draft", "draught"), ("earmold", "earmould"), ("enquire", "inquire"), ("enquiry", "inquiry"), ("enroll", "enrol"), ("enrollment", "enrolment"),
+    ("epaulet", "epaulette"), ("fagot", "faggot"), ("fiance", "fiancé"), ("fulfill", "fulfil"), ("furor", "furore"), ("gage", "gauge"), ("gasoline", "petrol"),
+    ("negotiation", "negociation"), ("tranquility", "tranquillity"), ("willful", "wilful"), ("wilfully", "willfully"), ("fulfillment", "fulfilment"),
+    ("entrust", "intrust"), ("instalment", "installment"), ("mustache", "moustache"), ("pajama", "pyjama"), ("pajamas", "pyjamas"), ("story", "storey"),
+    ("stories", "storeys"), ("program", "programme"), ("programs", "programmes"), ("ton", "tonne"), ("tons", "tonnes"), ("specialty", "speciality"),
+    ("cognizant", "cognisant"), ("tire", "tyre"), ("curb", "kerb"), ("check", "cheque"), ("jail", "gaol"), ("wagon", "waggon"), ("woolen", "woollen"),
+    ("jewelry", "jewellery"), ("skillful", "skilful"), ("install", "instal"),
+)
+
+
+def american(word: Column) -> Column:
+    """A word in lower case with the British spellings that a rule covers made American ones."""
+    w = F.lower(F.trim(word))
+    for pattern, by in BRITISH:
+        w = F.regexp_replace(w, pattern, by.replace("\\", "$"))
+    return w
 
 
 def us_uk_key(a: Column, b: Column) -> Column:
-    """The spellings as one key of the pair table, whichever comes first."""
-    a, b = F.lower(a), F.lower(b)
+    """The spellings as one key of a pair table, whichever comes first."""
+    a, b = F.lower(F.trim(a)), F.lower(F.trim(b))
     return F.concat_ws("|", F.least(a, b), F.greatest(a, b))
 
 
-def us_uk_keys() -> list[str]:
-    return sorted({"|".join(sorted(p)) for p in us_uk_pairs()})
+def us_uk_keys(pairs: Iterable[tuple[str, str]] = SPELLINGS) -> list[str]:
+    return sorted({"|".join(sorted(x.lower() for x in p)) for p in pairs if p[0].lower() != p[1].lower()})
+
 
+def is_us_uk(a: Column, b: Column, pairs: Iterable[tuple[str, str]] = SPELLINGS) -> Column:
+    """A British and an American spelling of one word, by the rules or by a table of pairs.
 
-def is_us_uk(a: Column, b: Column, keys: list[str] | None = None) -> Column:
-    """A British and an American spelling of one word. A larger table is joined by us_uk_key instead."""
-    return us_uk_key(a, b).isin(keys or us_uk_keys())
+    pairs is a parameter: a house list of any length takes the place of SPELLINGS. A
+    long one is joined by us_uk_key instead. Nulls are no pair.
+    """
+    x, y = F.lower(F.trim(a)), F.lower(F.trim(b))
+    found = (x != y) & ((american(a) == american(b)) | us_uk_key(a, b).isin(us_uk_keys(pairs)))
+    return F.coalesce(found, F.lit(False))
 
 
 def stems(word: Column) -> Column:
@@ -134,7 +162,3 @@ def has_mark(word: Column) -> Column:
     """N30."""
     return F.lower(word).rlike(MARKED)
 
-
-def pairs_literal() -> str:
-    """The pair table as SQL rows."""
-    return ", ".join(f"('{k}')" for k in us_uk_keys())

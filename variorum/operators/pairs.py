@@ -81,15 +81,13 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["u", "v", "jaccard"])
 
 
-def near_pairs(docs: DataFrame, shingle_words: int = 5, least: float = 0.5) -> DataFrame:
-    """(a_id, b_id, jaccard, a_text, b_text), a_id < b_id: all pairs with least < jaccard < 1.
+def _alike_classes(docs: DataFrame, shingle_words: int, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, cls) of all texts with shingles, (u, v, jaccard) of alike classes, (doc_id, text, cls) of the texts in these.
 
     Texts of equal shingle sets are one class, which is sketched once. Classes that
     share a band of MinHash values are candidates, and all of these are confirmed on
     the full sets of 64-bit hashes; a pair above 0.5 is missed with a chance of
-    4e-8 at most. A pair of classes gives the pairs of all their texts, so the rows
-    grow with the square of a group of near copies. Texts shorter than a shingle and
-    null texts are in no pair, nor is a row paired with one of its own id.
+    4e-8 at most.
     """
     kind = dict(docs.dtypes)["doc_id"]
     hashed = F.coalesce(F.transform(T.tokens(F.col("text")), lambda w: F.xxhash64(w)), F.array().cast("array<long>")).alias("w")
@@ -108,28 +106,50 @@ def near_pairs(docs: DataFrame, shingle_words: int = 5, least: float = 0.5) -> D
     sets = own.select("cls", "s").dropDuplicates(["cls"])
     both = met.join(sets.toDF("u", "u_s"), "u").join(sets.toDF("v", "v_s"), "v").select("u", "v", "u_s", "v_s")
     alike = cut(both.mapInArrow(_alike, "u long, v long, jaccard double").filter((F.col("jaccard") > least) & (F.col("jaccard") < 1)))
+    return sketched.select("doc_id", "cls"), alike, own.select("doc_id", "text", "cls")
+
+
+def near_pairs(docs: DataFrame, shingle_words: int = 5, least: float = 0.5) -> DataFrame:
+    """(a_id, b_id, jaccard, a_text, b_text), a_id < b_id: all pairs with least < jaccard < 1.
+
+    A pair of classes gives the pairs of all their texts, so the rows grow with the
+    square of a group of near copies; linked_classes and nearest_pairs don't. Texts
+    shorter than a shingle and null texts are in no pair, nor is a row paired with
+    one of its own id.
+    """
+    _, alike, own = _alike_classes(docs, shingle_words, least)
     texts = own.select("cls", F.struct("doc_id", "text").alias("x"))
     out = alike.join(texts.toDF("u", "x"), "u").join(texts.toDF("v", "y"), "v").filter("x.doc_id <> y.doc_id")
     out = out.select("jaccard", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return out.select(F.col("a.doc_id").alias("a_id"), F.col("b.doc_id").alias("b_id"), "jaccard", F.col("a.text").alias("a_text"), F.col("b.text").alias("b_text"))
 
 
-def edition_pairs(docs: DataFrame, shingle_words: int = 5, least: float = 0.5) -> DataFrame:
-    """(a_id, b_id, jaccard): each text with the smallest text of its block, if they are alike.
+def linked_classes(docs: DataFrame, shingle_words: int = 5, least: float = 0.5) -> DataFrame:
+    """(a_id, b_id, jaccard): links between classes, named by their smallest ids, and members with 1.0.
+
+    A class is the texts of one shingle set; its members are pairs of its smallest id
+    and each other one. Two classes above `least` are a pair of their smallest ids.
+    Texts shorter than a shingle and null texts are in no class; null ids stay out.
+    """
+    sketched, alike, _ = _alike_classes(docs.filter("doc_id is not null"), shingle_words, least)
+    first = cut(sketched.groupBy("cls").agg(F.min("doc_id").alias("first")))
+    members = sketched.distinct().join(first, "cls").filter("doc_id <> first").select(F.col("first").alias("a_id"), F.col("doc_id").alias("b_id"), F.lit(1.0).alias("jaccard"))
+    found = alike.join(first.toDF("u", "x"), "u").join(first.toDF("v", "y"), "v").filter("x <> y")
+    return found.select(F.least("x", "y").alias("a_id"), F.greatest("x", "y").alias("b_id"), "jaccard").unionByName(members)
+
+
+def nearest_pairs(docs: DataFrame, shingle_words: int = 5, least: float = 0.5) -> DataFrame:
+    """(a_id, b_id, jaccard, a_text, b_text): each text with the likest one of smaller id, of ties the smallest.
 
-    A block holds the texts whose shingles have the same least md5, a MinHash of one
-    value; a block's texts meet its first, never each other, so a block of n texts
-    gives n - 1 pairs. Texts shorter than a shingle and null texts have no block.
-    This is what the SQL of near_copy_pairs says; near_pairs has all pairs.
+    Of a class the text of the smallest id stands for all. A group of n near copies
+    gives n - 1 pairs at most, so that it can be collated whatever its size. Other
+    rules are those of linked_classes.
     """
-    k = shingle_words
-    words = docs.select("doc_id", "text", T.tokens(F.col("text")).alias("w")).filter(F.size("w") >= k)
-    shingles = F.array_distinct(F.expr(f"transform(sequence(1, size(w) - {k - 1}), i -> array_join(slice(w, i, {k}), ' '))"))
-    own = words.select("doc_id", "text", shingles.alias("s"))
-    # never null, or the test for it would be pushed below and split the text again for each shingle
-    own = own.withColumn("block", F.coalesce(F.array_min(F.transform("s", lambda x: F.md5(x))), F.lit("")))
-    first = own.groupBy("block").agg(F.min("doc_id").alias("a_id"), F.count("*").alias("n")).filter("n > 1").select("block", "a_id")
-    a = own.withColumnRenamed("doc_id", "a_id").join(first, ["block", "a_id"]).select("block", "a_id", F.col("text").alias("a_text"), F.col("s").alias("a_s"))
-    b = own.select("block", F.col("doc_id").alias("b_id"), F.col("text").alias("b_text"), F.col("s").alias("b_s"))
-    met = a.join(b, "block").filter("a_id <> b_id")
-    return met.withColumn("jaccard", T.jaccard(F.col("a_s"), F.col("b_s"))).filter(F.col("jaccard") > least).select("a_id", "b_id", "jaccard", "a_text", "b_text")
+    _, alike, own = _alike_classes(docs.filter("doc_id is not null"), shingle_words, least)
+    first = cut(own.groupBy("cls").agg(F.min(F.struct("doc_id", "text")).alias("x")).select("cls", "x.doc_id", "x.text"))
+    ids = first.select("cls", "doc_id")
+    found = alike.join(ids.toDF("u", "x"), "u").join(ids.toDF("v", "y"), "v").filter("x <> y")
+    found = found.select(F.least("x", "y").alias("a_id"), F.greatest("x", "y").alias("b_id"), F.when(F.col("x") < F.col("y"), F.col("u")).otherwise(F.col("v")).alias("a"), F.when(F.col("x") < F.col("y"), F.col("v")).otherwise(F.col("u")).alias("b"), "jaccard")
+    best = found.groupBy("b_id").agg(F.min(F.struct(-F.col("jaccard"), "a_id", "a", "b")).alias("m")).select("m.a_id", "b_id", (-F.col("m.col1")).alias("jaccard"), "m.a", "m.b")
+    a, b = first.select(F.col("cls").alias("a"), F.col("text").alias("a_text")), first.select(F.col("cls").alias("b"), F.col("text").alias("b_text"))
+    return best.join(a, "a").join(b, "b").select("a_id", "b_id", "jaccard", "a_text", "b_text")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from variorum.functions import lexicon
 from variorum.functions import text as T
 from variorum.operators import diff, rules, variants
-from variorum.operators.pairs import edition_pairs, near_pairs
+from variorum.operators.pairs import linked_classes, nearest_pairs
 from variorum.registry import QUERIES, SQL, Query, query
 from variorum.runtime import table
 
@@ -186,8 +186,17 @@ def fragment_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates(spark, sf_dir).select("item_id", "seq", diff.is_fragment(a, b).alias("is_fragment"), diff.has_page_reference(a, b).alias("has_page_reference"))
 
 
+def _american(c: str) -> str:
+    c = f"lower(trim({c}))"
+    for pattern, by in lexicon.BRITISH:
+        c = f"regexp_replace({c}, '{pattern}', '{by}')"
+    return c
+
+
 def _usuk(a: str, b: str) -> str:
-    return f"(least(lower({a}), lower({b})) || '|' || greatest(lower({a}), lower({b}))) IN ({', '.join(chr(39) + k + chr(39) for k in lexicon.us_uk_keys())})"
+    x, y = f"lower(trim({a}))", f"lower(trim({b}))"
+    keys = ", ".join(f"'{_quote(k)}'" for k in lexicon.us_uk_keys())
+    return f"coalesce({x} <> {y} AND ({_american(a)} = {_american(b)} OR (least({x}, {y}) || '|' || greatest({x}, {y})) IN ({keys})), FALSE)"
 
 
 def _m(c: str, p: str) -> str:
@@ -264,10 +273,13 @@ def report_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("us_uk_variants", f"WITH {_CAND_SQL} SELECT item_id, seq, lower(pg_text) AS a, lower(scan_text) AS b FROM cand WHERE {_usuk('pg_text', 'scan_text')}")
 def us_uk_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J24, J25 as a join with the pair table."""
+    """By the rules, and as a join with the pair table."""
     pairs = spark.createDataFrame([(k,) for k in lexicon.us_uk_keys()], "key string")
     own = candidates(spark, sf_dir).withColumn("key", lexicon.us_uk_key(F.col("pg_text"), F.col("scan_text")))
-    return own.join(pairs, "key", "left_semi").select("item_id", "seq", F.lower("pg_text").alias("a"), F.lower("scan_text").alias("b"))
+    listed = own.join(pairs, "key", "left_semi").select("item_id", "seq")
+    ruled = own.filter(lexicon.is_us_uk(F.col("pg_text"), F.col("scan_text"), ())).select("item_id", "seq")
+    found = listed.unionByName(ruled).distinct()
+    return own.join(found, ["item_id", "seq"], "left_semi").select("item_id", "seq", F.lower("pg_text").alias("a"), F.lower("scan_text").alias("b"))
 
 
 # --- variants
@@ -328,19 +340,19 @@ def moderate_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "near_copy_pairs",
-    f"""WITH w AS (SELECT doc_id, {_WORDS_SQL.format(c="text")} AS w FROM documents), s AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE len(w) >= 5),
-    blocked AS (SELECT doc_id, s, list_min(list_transform(s, lambda x: md5(x))) AS block FROM s), firsts AS (SELECT block, min(doc_id) AS a_id FROM blocked GROUP BY block),
-    met AS (SELECT f.a_id, b.doc_id AS b_id, len(list_intersect(a.s, b.s)) AS i, len(a.s) AS na, len(b.s) AS nb FROM firsts f JOIN blocked a ON a.doc_id = f.a_id JOIN blocked b ON b.block = f.block AND b.doc_id <> f.a_id)
-    SELECT a_id, b_id, i / (na + nb - i) AS jaccard FROM met WHERE i / (na + nb - i) > 0.5""",
+    f"""WITH w AS (SELECT doc_id, {_WORDS_SQL.format(c="text")} AS w FROM documents), s AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM w WHERE len(w) >= 5),
+    c AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY s) AS first FROM s), e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM c WHERE doc_id = first),
+    met AS (SELECT a.doc_id AS a_id, b.doc_id AS b_id, a.n AS na, b.n AS nb, count(*) AS i FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL)
+    SELECT a_id, b_id, i / (na + nb - i) AS jaccard FROM met WHERE i / (na + nb - i) > 0.5 UNION ALL SELECT first, doc_id, 1.0 FROM c WHERE doc_id <> first""",
 )
 def near_copy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J21, X5."""
-    return edition_pairs(table(spark, sf_dir, "documents")).select("a_id", "b_id", "jaccard")
+    """Links between classes of equal texts, and their members."""
+    return linked_classes(table(spark, sf_dir, "documents"))
 
 
 def _diff(mode: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        pairs = near_pairs(table(spark, sf_dir, "documents")).select("a_id", "b_id", "a_text", "b_text")
+        pairs = nearest_pairs(table(spark, sf_dir, "documents")).select("a_id", "b_id", "a_text", "b_text")
         return diff.candidates(diff.hunks(pairs, ["a_id", "b_id"], mode=mode))
 
     return run

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from variorum.functions import lexicon
 from variorum.functions import text as T
 from variorum.operators import align, anchors, dictionary, editions, gaps, pages, score
-from variorum.operators.pairs import near_pairs
+from variorum.operators.pairs import nearest_pairs
 from variorum.plans import compare, errata, verify
 from variorum.registry import SQL, query
 from variorum.runtime import cut, table
@@ -460,18 +460,19 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.drain(stream.first_rows(stream.source(spark, sf_dir)).select("event_id", "user_id", "event_type"), "append")
 
 
-# --- whole plans, over near copies: the smaller text as the book, the larger as its page
+# --- whole plans, over near copies: each text as the page of a book, its likest smaller one
 
 
 def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Books, their pages, and (book_id, a_id, b_id): each pair is a book of its own, since a text has as many pairs as near copies."""
-    pairs, key = cut(near_pairs(table(spark, sf_dir, "documents"))), F.xxhash64("a_id", "b_id").alias("book_id")
-    return pairs.select(key, F.col("a_text").alias("body_text")), pairs.select(key, F.lit(0).cast("long").alias("page_num"), F.col("b_text").alias("text")), pairs.select(key, "a_id", "b_id")
+    """Books, their pages, and (book_id, a_id): each text with a likest smaller one is a page of a book of that text."""
+    pairs = cut(nearest_pairs(table(spark, sf_dir, "documents")))
+    key = F.col("b_id").alias("book_id")
+    return pairs.select(key, F.col("a_text").alias("body_text")), pairs.select(key, F.lit(0).cast("long").alias("page_num"), F.col("b_text").alias("text")), pairs.select(key, "a_id")
 
 
 def _named(found: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows with the larger text's id as book_id, as its page is named, and the smaller's as a_id."""
-    return found.join(ids, "book_id").select("a_id", F.col("b_id").alias("book_id"), *[c for c in found.columns if c != "book_id"])
+    """Rows with the smaller text's id as a_id; book_id is the larger one's."""
+    return found.join(ids, "book_id").select("a_id", *found.columns)
 
 
 @query("errata_errors")
