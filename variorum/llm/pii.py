@@ -9,13 +9,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 #: What the tagger knows. Only `secret` has no pattern.
 TAGGED = (*KINDS, "secret")
-WINDOW, STRIDE, MARGIN = 96, 48, 24
+#: Windows of a text start each STRIDE characters; the last one is shorter.
+WINDOW, STRIDE = 512, 448
+#: Windows are as long as a multiple of this, with spaces at the end; as many of one length are tagged together.
+ROUND, TOGETHER = 32, 1024
+#: Texts of about as many bytes are tagged together.
+PART_BYTES = 4_000_000
+#: The length of the labelled crops that the tagger is fitted on.
+CROP = 160
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -34,8 +42,8 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def _is(kind: str, s: str) -> bool:
-    """Whether a match of the kind's pattern, or a span the tagger gave that kind, holds up."""
+def holds_up(kind: str, s: str) -> bool:
+    """Whether s can be what the kind says: the rule for matches of its pattern, and a filter on what the tagger found."""
     digits = _DIGITS.sub("", s)
     if kind == "ip":
         return s.count(".") == 3 and all(x.isdigit() and len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in s.split("."))
@@ -69,7 +77,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             found.append((start, 0, end))
         at = text.find("@", max(at + 1, end))
     for kind, pattern in ((1, _IP), (2, _CARD), (3, _PHONE)):
-        found += [(m.start(), kind, m.end()) for m in pattern.finditer(text) if _is(KINDS[kind], m[0])]
+        found += [(m.start(), kind, m.end()) for m in pattern.finditer(text) if holds_up(KINDS[kind], m[0])]
     return sorted(found)
 
 
@@ -81,11 +89,12 @@ _CHARS = 130
 
 def encode(text: str) -> np.ndarray:
     """ASCII as it is, other letters 128, the rest 129."""
-    code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    out = code.astype(np.int64)
-    high = code >= 128
-    if high.any():
-        out[high] = [128 if chr(c).isalpha() else 129 for c in code[high]]
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = np.minimum(code, 129).astype(np.uint8)
+    high = np.flatnonzero(code >= 128)
+    if high.size:
+        found, at = np.unique(code[high], return_inverse=True)
+        out[high] = np.array([128 if chr(c).isalpha() else 129 for c in found], np.uint8)[at]
     return out
 
 
@@ -96,7 +105,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Tagger:
     """Embedding, a forward and a backward LSTM, a linear layer, and CRF transitions."""
 
-    def __init__(self, embed: int = 12, hidden: int = 16, seed: int = 5):
+    def __init__(self, embed: int = 12, hidden: int = 12, seed: int = 5):
         rng = np.random.default_rng(seed)
         self.hidden = hidden
 
@@ -134,18 +143,69 @@ class Tagger:
         both = np.concatenate([forward, backward[::-1]], 2)
         return both @ self.p["O"] + self.p["o"], (x, both, saved_f, saved_b)
 
+    def scores(self, chars: np.ndarray) -> np.ndarray:
+        """emissions() as (length, tags, batch), for tagging.
+
+        Characters are looked up behind the input weights; a sigmoid is half of one
+        plus the tanh of the half, and the states are kept at their double.
+        """
+        n, (B, L) = self.hidden, chars.shape
+        codes, out = np.ascontiguousarray(chars.T.astype(np.intp)), np.empty((L, TAGS, B), np.float32)
+        half = np.repeat(np.array([0.5, 0.5, 0.5, 1], np.float32), n)
+        z, own = np.empty((4 * n, B), np.float32), np.empty((TAGS, B), np.float32)
+        gates, (i, f, o, g) = z[: 3 * n], z.reshape(4, n, B)
+        for d, order, O in (("f", range(L), self.p["O"][:n]), ("b", range(L - 1, -1, -1), self.p["O"][n:])):
+            table = np.ascontiguousarray(((self.p["E"] @ self.p[f"W{d}"] + self.p[f"b{d}"]) * half).T, np.float32)
+            U, O = np.ascontiguousarray((self.p[f"U{d}"] * half / 2).T, np.float32), np.ascontiguousarray(O.T / 2, np.float32)
+            h, c, keep = np.zeros((n, B), np.float32), np.zeros((n, B), np.float32), np.empty((n, B), np.float32)
+            for t in order:
+                np.matmul(U, h, out=z)
+                z += table.take(codes[t], 1)
+                np.tanh(z, out=z)
+                gates += 1
+                c *= f
+                c += np.multiply(i, g, out=keep)
+                c *= 0.5
+                np.multiply(o, np.tanh(c, out=keep), out=h)
+                if d == "f":
+                    np.matmul(O, h, out=out[t])
+                else:
+                    out[t] += np.matmul(O, h, out=own)
+        out += self.p["o"][:, None]
+        return out
+
+    def _may_tag(self, e: np.ndarray) -> np.ndarray:
+        """Which columns of scores (length, tags, batch) may have a best path other than no tag at all.
+
+        Against that path a stretch of tags gains at most its emissions, and what the
+        best transitions into, inside and out of tags give; the others can't win.
+        """
+        T = self.p["T"] - self.p["T"][0, 0]
+        into, inside, out = T[0, 1:].max(), T[1:, 1:].max(), T[1:, 0].max()
+        gain = e[:, 1:].max(1) - e[:, 0]
+        run, found = gain[0], gain[0] + out >= 0
+        for x in gain[1:]:
+            run = np.maximum(run + inside, into) + x
+            found |= run + out >= 0
+        return found | (run >= 0)
+
     def decode(self, chars: np.ndarray) -> np.ndarray:
         """The best tags (batch, length), by Viterbi."""
-        e, _ = self.emissions(chars)
-        T, score, back = self.p["T"], e[0], []
+        e = self.scores(chars)
+        out = np.zeros(chars.shape, np.int64)
+        some = np.flatnonzero(self._may_tag(e))
+        if some.size == 0:
+            return out
+        e = np.ascontiguousarray(e[:, :, some])
+        T, best = self.p["T"], np.empty_like(e)
+        best[0] = e[0]
         for t in range(1, len(e)):
-            paths = score[:, :, None] + T
-            back.append(paths.argmax(1))
-            score = paths.max(1) + e[t]
-        out = np.empty(chars.shape, np.int64)
-        out[:, -1] = score.argmax(1)
+            best[t] = (best[t - 1][:, None, :] + T[:, :, None]).max(0) + e[t]
+        tags, rows = np.empty((some.size, len(e)), np.int64), np.arange(some.size)
+        tags[:, -1] = best[-1].argmax(0)
         for t in range(len(e) - 2, -1, -1):
-            out[:, t] = back[t][np.arange(len(chars)), out[:, t + 1]]
+            tags[:, t] = (best[t] + T[:, tags[rows, t + 1]]).argmax(0)
+        out[some] = tags
         return out
 
     def gradients(self, chars: np.ndarray, tags: np.ndarray) -> tuple[float, dict]:
@@ -214,20 +274,53 @@ class Tagger:
         return self
 
 
+_ONSETS = ("", "", "b", "c", "ch", "d", "f", "g", "h", "k", "l", "m", "n", "p", "pf", "ph", "qu", "r", "s", "sch", "sh", "st", "str", "t", "th", "tr", "v", "w", "wh", "z", "ñ")
+_NUCLEI = ("a", "e", "i", "o", "u", "a", "e", "i", "o", "ea", "ie", "ou", "au", "ei", "io", "y", "ä", "ö", "ü", "é", "è", "ê", "í", "ó", "")
+_CODAS = ("", "", "", "n", "nd", "nt", "r", "s", "ss", "st", "sh", "t", "tz", "l", "ll", "ld", "ng", "m", "ch", "ck", "rr", "x", "ß", "wh", "ble", "ly", "tion")
+
+
+def _letters(rng: random.Random, most: int) -> str:
+    return "".join(rng.choice(_ONSETS) + rng.choice(_NUCLEI) + rng.choice(_CODAS) for _ in range(rng.randint(1, most))) or "a"
+
+
 def _word(rng: random.Random) -> str:
-    w = "".join(rng.choice(("th", "er", "on", "an", "re", "ti", "es", "or", "de", "la", "ou", "ch", "ver", "é", "ö", "ñ", "mente", "lich")) for _ in range(rng.randint(1, 4)))
-    return rng.choice((w, w, w, w.capitalize(), w.upper() + "!!"))
+    w = _letters(rng, rng.choice((1, 1, 2, 2, 3, 4, 6)))
+    return rng.choice((w, w, w, w, w.capitalize(), w.upper() + "!!", w + rng.choice((",", ".", "&&&", "%%%", "***", "###", "$$$"))))
+
+
+def _look_alike(rng: random.Random) -> str:
+    """What has letters or signs enough for a secret, and is none."""
+    words = [_letters(rng, 3) for _ in range(rng.randint(2, 5))]
+    return rng.choice((
+        "".join(x.capitalize() for x in words),
+        words[0] + "".join(x.capitalize() for x in words[1:]),
+        rng.choice("_-/.").join(words),
+        "_".join(words).upper(),
+        f"https://{words[0]}.{rng.choice(('org', 'example.com', 'net'))}/{'/'.join(words[1:])}",
+        f"/{'/'.join(words)}.{rng.choice(('py', 'html', 'txt'))}",
+        rng.choice("=-*#~_.ax") * rng.randint(8, 60),
+    ))
 
 
 def _number(rng: random.Random, n: int) -> str:
     return "".join(rng.choice("0123456789") for _ in range(n))
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _secret(rng: random.Random) -> str:
+    """A random string of one alphabet, with digits or without."""
+    alphabet = rng.choice(("0123456789abcdef", "0123456789abcdef", _UPPER + _LOWER + "0123456789", _UPPER + _LOWER + "0123456789_-", _UPPER + _LOWER, _UPPER + _LOWER))
+    return "".join(rng.choice(alphabet) for _ in range(rng.choice((20, 24, 32, 40, 40, 48, 64))))
+
+
 def labelled_example(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
     """A made-up passage and its labelled spans; personal data among words and look-alikes."""
     parts: list[tuple[str, str]] = []
-    for _ in range(rng.randint(4, 16)):
-        kind = rng.choices(("word", "email", "ip", "card", "phone", "secret", "number"), (60, 5, 5, 5, 5, 6, 8))[0]
+    prose = rng.random() < 0.3
+    for _ in range(rng.randint(8, 30)):
+        kind = rng.choices(("word", "email", "ip", "card", "phone", "secret", "number", "look"), (60, 0, 0, 0, 0, 0, 3, 4) if prose else (60, 4, 4, 4, 4, 8, 6, 5))[0]
         if kind == "email":
             s = f"{_word(rng).lower().strip('!')}{rng.choice(('.', '_', ''))}{rng.randint(0, 99)}@{rng.choice(('mail', 'post', 'web'))}{rng.randint(1, 9)}.{rng.choice(('example.com', 'org', 'co.uk', 'net'))}"
         elif kind == "ip":
@@ -239,13 +332,18 @@ def labelled_example(rng: random.Random) -> tuple[str, list[tuple[int, int, str]
         elif kind == "phone":
             s = rng.choice((f"+{rng.randint(1, 99)} ({_number(rng, 3)}) {_number(rng, 3)}-{_number(rng, 4)}", f"+{rng.randint(1, 99)} {_number(rng, 3)} {_number(rng, 3)} {_number(rng, 4)}", f"({_number(rng, 3)}) {_number(rng, 3)}-{_number(rng, 4)}", f"{_number(rng, 3)}-{_number(rng, 3)}-{_number(rng, 4)}"))
         elif kind == "secret":
-            s = "".join(rng.choice(rng.choice(("0123456789abcdef", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))) for _ in range(rng.choice((24, 32, 40, 40))))
-            quote = rng.choice(('"', "'", ""))
-            parts += [(f"{rng.choice(('token', 'key', 'secret', 'api_key', 'password'))}{rng.choice((' = ', '=', ': '))}{quote}", ""), (s, "secret"), (quote + " ", "")]
+            s = _secret(rng)
+            if rng.random() < 0.6:
+                quote = rng.choice(('"', "'", ""))
+                parts += [(f"{rng.choice(('token', 'key', 'secret', 'api_key', 'password', 'Authorization'))}{rng.choice((' = ', '=', ': '))}{quote}", ""), (s, "secret"), (quote + " ", "")]
+            else:
+                parts += [(s, "secret"), (rng.choice((" ", " ", "\n", ", ", ". ")), "")]
             continue
         elif kind == "number":
             s = rng.choice((_number(rng, rng.randint(1, 4)), f"{rng.randint(1, 9)}.{rng.randint(0, 9)}", f"v{rng.randint(1, 9)}.{rng.randint(0, 9)}.{rng.randint(0, 9)}", f"{rng.randint(1900, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}", f"@{_word(rng)}", f"{_word(rng)}{rng.randint(1, 999)}", f"({rng.randint(1, 99)})"))
             kind = "word"
+        elif kind == "look":
+            s, kind = _look_alike(rng), "word"
         else:
             s = _word(rng)
         parts += [(s, "" if kind == "word" else kind), (rng.choice((" ", " ", " ", ", ", ". ", "\n", "### ", "%%% ", " | ")), "")]
@@ -258,36 +356,25 @@ def labelled_example(rng: random.Random) -> tuple[str, list[tuple[int, int, str]
 
 
 @functools.lru_cache(2)
-def trained(examples: int = 2500, epochs: int = 6, seed: int = 17) -> Tagger:
+def trained(examples: int = 3000, epochs: int = 8, seed: int = 17) -> Tagger:
     """A tagger fitted on made-up labelled passages; the same on every machine."""
     rng = random.Random(seed)
-    chars, tags = np.full((examples, WINDOW), 32, np.int64), np.zeros((examples, WINDOW), np.int64)
+    chars, tags = np.full((examples, CROP), 32, np.int64), np.zeros((examples, CROP), np.int64)
     for k in range(examples):
         text, spans = labelled_example(rng)
         own = np.zeros(len(text), np.int64)
         for s, e, kind in spans:
             own[s:e] = 2 + 2 * TAGGED.index(kind)
             own[s] -= 1
-        at = rng.randint(0, max(0, len(text) - WINDOW))
-        piece = encode(text)[at : at + WINDOW]
-        chars[k, : len(piece)], tags[k, : len(piece)] = piece, own[at : at + WINDOW]
+        at = rng.randint(0, max(0, len(text) - CROP))
+        piece = encode(text)[at : at + CROP]
+        chars[k, : len(piece)], tags[k, : len(piece)] = piece, own[at : at + CROP]
     return Tagger().fit(chars, tags, epochs)
 
 
-def windows(text: str) -> list[tuple[int, int]]:
-    """Overlapping windows over all stretches with a digit or an at sign, which every kind has."""
-    out: list[tuple[int, int]] = []
-    start = end = -1
-    for m in _HINT.finditer(text):
-        at = m.start()
-        if end < 0 or at - MARGIN > end:
-            if end >= 0:
-                out.append((start, end))
-            start = max(0, at - MARGIN)
-        end = min(len(text), at + 1 + MARGIN)
-    if end >= 0:
-        out.append((start, end))
-    return [(s, min(e, s + WINDOW)) for a, e in out for s in range(a, max(a + 1, e - (WINDOW - STRIDE)), STRIDE)]
+def windows(n: int) -> list[tuple[int, int]]:
+    """Overlapping windows over all of a text of n characters; each but a text's only one holds more than what the one before has."""
+    return [(s, min(n, s + WINDOW)) for s in range(0, n if n <= WINDOW else n - (WINDOW - STRIDE), STRIDE)]
 
 
 def reconcile(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
@@ -328,37 +415,57 @@ def united(pieces: list[tuple[int, int, int, bool, bool]]) -> list[tuple[int, in
     return [(s, k, e, (1 if late or early else 2) * (e - s)) for s, k, e, late, early, _ in groups]
 
 
-def tagged_spans(tagger: Tagger, texts: list[str], batch: int = 256) -> list[list[tuple[int, int, int]]]:
-    """Per text the tagger's spans (start, kind, end), reconciled over all of its windows.
+def _pieces(tags: np.ndarray, s: int, e: int, n: int) -> Iterator[tuple[int, int, int, bool, bool]]:
+    """The spans in the tags of the window from s to e of a text of n characters, as united() takes them."""
+    kind = np.where(tags > 0, (tags - 1) // 2, -1)
+    head = np.append(True, (kind[1:] != kind[:-1]) | (tags[1:] % 2 == 1))
+    starts = np.flatnonzero(head)
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), tags.size], strict=True):
+        if kind[a] >= 0:
+            yield s + a, int(kind[a]), s + b, a == 0 and s > 0, b == e - s and e < n
+
+
+def tagged_spans(tagger: Tagger, texts: list[str], batch: int = TOGETHER) -> list[list[tuple[int, int, int]]]:
+    """Per text the tagger's spans (start, kind, end), reconciled over all of its windows, which hold every character.
 
     A span that touches a window's edge inside the text may go on beyond it; such
     pieces are united with those that they go on in, then weighed, so that a span of
-    any length that no window holds is one span.
+    any length that no window holds is one span. A window is as long as its own
+    characters ask for, so that a text's spans don't depend on the texts beside it.
     """
-    work = [(n, s, e) for n, text in enumerate(texts) for s, e in windows(text)]
+    codes = [encode(text) for text in texts]
+    work: dict[int, list[tuple[int, int, int]]] = {}
+    for n, own in enumerate(codes):
+        for s, e in windows(own.size):
+            work.setdefault(-(-(e - s) // ROUND) * ROUND, []).append((n, s, e))
     found: list[list[tuple[int, int, int, bool, bool]]] = [[] for _ in texts]
-    for at in range(0, len(work), batch):
-        part = work[at : at + batch]
-        chars = np.full((len(part), WINDOW), 32, np.int64)
-        for row, (n, s, e) in enumerate(part):
-            chars[row, : e - s] = encode(texts[n][s:e])
-        for (n, s, e), tags in zip(part, tagger.decode(chars), strict=True):
-            begin = None
-            for i in range(e - s + 1):
-                tag = int(tags[i]) if i < e - s else 0
-                if begin is not None and (tag == 0 or tag % 2 or (tag - 1) // 2 != begin[1]):
-                    found[n].append((s + begin[0], begin[1], s + i, begin[0] == 0 and s > 0, i == e - s and e < len(texts[n])))
-                    begin = None
-                if tag and begin is None:
-                    begin = (i, (tag - 1) // 2)
-    return [reconcile(united(x)) for x in found]
+    for length, all_of in work.items():
+        for at in range(0, len(all_of), batch):
+            part = all_of[at : at + batch]
+            chars = np.full((len(part), length), 32, np.uint8)
+            for row, (n, s, e) in enumerate(part):
+                chars[row, : e - s] = codes[n][s:e]
+            tags = tagger.decode(chars)
+            for row in np.flatnonzero(tags.any(1)).tolist():
+                n, s, e = part[row]
+                found[n] += _pieces(tags[row, : e - s], s, e, codes[n].size)
+    return [reconcile(united(x)) if x else [] for x in found]
+
+
+def _parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about PART_BYTES of the column, or one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART_BYTES, "right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def _finder(tagger: Tagger):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in _parts(batch, 1):
                 texts = [x or "" for x in part.column(1).to_pylist()]
                 rows = []
                 for text, more in zip(texts, tagged_spans(tagger, texts), strict=True):
@@ -366,7 +473,7 @@ def _finder(tagger: Tagger):
                     rows.append([{"start": s, "end": e, "kind": KINDS[k], "base": True} for s, k, e in base])
                     taken = sorted((s, e) for s, _, e in base)
                     for s, k, e in more:
-                        if all(e <= a or b <= s for a, b in taken) and _is(TAGGED[k], text[s:e]):
+                        if all(e <= a or b <= s for a, b in taken) and holds_up(TAGGED[k], text[s:e]):
                             rows[-1].append({"start": s, "end": e, "kind": TAGGED[k], "base": False})
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("base", pa.bool_())]))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, kind)], names=["id", "text", "spans"])
@@ -381,7 +488,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ta
     """(id_col, text, spans): personal data of each text, in code points, ends exclusive.
 
     The patterns' spans are marked `base` and stay, even where kinds overlap. The
-    tagger adds spans that overlap none of them and hold up by their kind's rule.
+    tagger reads every character of every text; it adds its spans that overlap none
+    of the base ones. A separate filter, `holds_up`, then drops those that can't be
+    what their kind says (a card without a check digit, a secret of under 16 characters).
     Null texts are empty and have no spans. Each row stands for itself, whatever
     its id. Other columns are not read.
     """
