@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from variorum.functions import text as T
-from variorum.operators import align, diff, gaps, pages, report, rules, score
+from variorum.operators import align, diff, gaps, pages, report, rules, score, stitched
 
 
 @dataclass
@@ -33,6 +33,8 @@ def passages(alignments: DataFrame, books: DataFrame, own: DataFrame) -> DataFra
 def run(books: DataFrame, own: DataFrame, mode: str = "recursive", strict: bool = False) -> Errata:
     """books has (book_id, body_text), own has pages (book_id, page_num, text).
 
+    mode is flat, recursive (page by page) or stitched (neighbouring pages as one text).
+
     Offsets: pg_offset_ref adds a word's number to the passage's start, as older
     reports do (Q1); pg_offset is the character where the word stands in the
     normalised passage. Pages without an alignment are left to the gaps.
@@ -40,8 +42,17 @@ def run(books: DataFrame, own: DataFrame, mode: str = "recursive", strict: bool
     cleaned = own.withColumn("text", T.strip_paratext(F.coalesce("text", F.lit(""))))
     aligned = align.global_align(cleaned, books.withColumnRenamed("body_text", "book_text"), "book_id", "page_num").select("book_id", "scan_page", "pg_start", "pg_end", "confidence")
     pairs = passages(aligned, books, cleaned)
-    found = diff.candidates(diff.hunks(pairs, ["book_id", "scan_page"], "passage", "page_text", mode))
-    told = found.join(pairs, ["book_id", "scan_page"]).withColumn("norm", T.normalize_for_diff(F.col("passage")))
+    if mode == "stitched":
+        best = pairs.select("book_id", "scan_page", "pg_start", (F.col("pg_start") + F.length("passage")).alias("pg_end"))
+        texts = stitched.segments(books, best, cleaned).select("book_id", "segment_id", "a_norm")
+        found = stitched.candidates(books, best, cleaned)
+        sure = pairs.select("book_id", "scan_page", "confidence", T.normalize_for_diff(F.col("passage")).alias("page_norm"))
+        told = found.join(sure, ["book_id", "scan_page"]).join(texts, ["book_id", "segment_id"], "left").withColumn("norm", F.when(F.col("whole"), F.col("a_norm")).otherwise(F.col("page_norm")))
+        order = Window.partitionBy("book_id", "scan_page").orderBy("segment_id", "seq")
+        told = told.withColumn("seq", F.row_number().over(order) - 1).drop("a_norm", "page_norm", "whole", "segment_id", "pg_offset_ref")
+    else:
+        found = diff.candidates(diff.hunks(pairs, ["book_id", "scan_page"], "passage", "page_text", mode))
+        told = found.join(pairs, ["book_id", "scan_page"]).withColumn("norm", T.normalize_for_diff(F.col("passage")))
     before = F.length(F.array_join(F.slice(F.split("norm", " "), F.lit(1), F.col("i1")), " ")) + F.when(F.col("i1") > 0, 1).otherwise(0)
     told = told.withColumns({"in_passage": before, "pg_offset_ref": F.col("pg_start") + F.col("i1"), "pg_offset": F.col("pg_start") + before})
     kept = rules.mark_artifacts(rules.apply_rules(told, strict))
