@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 # fixed values: how many lines a passage may span, the most words looked for word by word, and the share that must be alike
 SPAN_LINES, FUZZY_WORDS, FUZZY_SHARE = 6, 5, 0.8
@@ -140,7 +141,7 @@ def trimmed(a: str, b: str) -> tuple[str, str]:
     return (x, y) if x and y else (a, b)
 
 
-@F.pandas_udf("struct<a:string,b:string>")
+@F.pandas_udf(StructType([StructField("a", StringType()), StructField("b", StringType())]))
 def trim_shared_edges(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """N45 of columns."""
     return pd.DataFrame([trimmed(x or "", y or "") for x, y in zip(a, b, strict=True)], columns=["a", "b"])

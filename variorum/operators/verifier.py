@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # fixed values: similarities from which a reading is a correction, an edition's variant, or unclear
 CORRECTION, VARIANT = 0.8, 0.6
@@ -14,7 +15,7 @@ TOO_SHORT = 5
 ANSWER = "struct<index:long,transcription:string,image_evidence:string,unable_to_verify:boolean>"
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib's ratio over characters."""
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
@@ -57,22 +58,11 @@ def derive(rows: DataFrame, text: str = "pg_text", read: str = "transcription")
     }).drop("__ratio")
 
 
-def _parsed(said: Column, opening: str, block: str, anywhere: str, schema: str) -> Column:
-    """An answer as JSON: as a whole, else in a fenced block, else the first that looks like it; null for none."""
-    whole = _stripped(said)
-    fenced, found = (F.regexp_extract(F.coalesce(said, F.lit("")), p, k) for p, k in ((block, 1), (anywhere, 0)))
-
-    def read(c: Column) -> Column:
-        # a malformed text has a row of nulls where an object is asked for, which is told by what to_json says of it
-        parsed = F.from_json(F.when(c.startswith(opening), c), schema, {"mode": "PERMISSIVE"})
-        return parsed
-
-    return F.coalesce(read(whole), read(fenced), read(found))
-
-
 def answer_array(said: Column) -> Column:
-    """The array of answers in a reply; null where there is none."""
-    found = _parsed(said, "[", r"(?s)```(?:json)?\s*(\[.*?\])\s*```", r"(?s)\[.*?\]", f"array<{ANSWER}>")
+    """The array of answers in a reply, as a whole, else in a fenced block, else the first brackets; null for none."""
+    text = F.coalesce(said, F.lit(""))
+    tries = [_stripped(text), F.regexp_extract(text, r"(?s)```(?:json)?\s*(\[.*?\])\s*```", 1), F.regexp_extract(text, r"(?s)\[.*?\]", 0)]
+    found = F.coalesce(*(F.from_json(F.when(x.startswith("["), x), f"array<{ANSWER}>") for x in tries))
     return F.when(F.size(found) > 0, found)
 
 

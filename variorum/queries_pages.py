@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from variorum.functions import lexicon
 from variorum.functions import text as T
-from variorum.operators import align, anchors, dictionary, editions, gaps, pages, score
+from variorum.operators import align, anchors, dictionary, editions, gaps, locate, pages, score, stitched, verifier
 from variorum.operators.pairs import nearest_pairs
 from variorum.plans import compare, errata, verify
 from variorum.registry import SQL, query
@@ -543,3 +543,71 @@ def tracked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST5, ST6, A49 to A55."""
     al = _alignments(spark, sf_dir).select(F.col("conv_id").alias("book_id"), F.col("scan_page").alias("page_num"), "pg_end", "confidence")
     return tracker.track(al)
+
+
+# --- stitched differences, file lines, verifier's answers
+
+
+@query("stitched_errors")
+def stitched_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as a book, its pages with some words misread."""
+    own = _pages(spark, sf_dir)
+    books = pages.stitched(own).select(F.col("conv_id").alias("book_id"), F.col("book_text").alias("body_text"))
+    misread = F.regexp_replace(F.regexp_replace("text", r"\bthe\b", "tbe"), r"\bof ", "")
+    scans = own.select(F.col("conv_id").alias("book_id"), F.col("turn").alias("page_num"), misread.alias("text"))
+    al = _alignments(spark, sf_dir).withColumnRenamed("conv_id", "book_id")
+    return stitched.candidates(books, al, scans).drop("diff_description")
+
+
+_CLEAN_LINE = "trim(regexp_replace(" + "{replaced}" + ", '\\s+', ' ', 'g'))"
+
+
+def _clean_line_sql(c: str) -> str:
+    c = f"regexp_replace({c}, '<[^>]+>', ' ', 'g')"
+    for name, sign in (("ldquo", '"'), ("rdquo", '"'), ("lsquo", "''"), ("rsquo", "''"), ("mdash", "-"), ("ndash", "-"), ("amp", "&")):
+        c = f"replace({c}, '&{name};', '{sign}')"
+    return _CLEAN_LINE.format(replaced=c)
+
+
+#: a passage of each page: four words from the seventh on, which may run over several lines
+_ASKED = f"""l AS (SELECT page_id, list_transform(string_split_regex(html, '\r\n|\n|\r'), lambda x: {_clean_line_sql("x")}) AS lines FROM pages),
+    w AS (SELECT page_id, lines, list_filter(string_split(array_to_string(lines, ' '), ' '), lambda x: x <> '') AS w FROM l), a AS (SELECT page_id, lines, array_to_string(w[7:10], ' ') AS passage FROM w WHERE len(w) >= 10)"""
+_FOUND = f"""{_ASKED}, e AS (SELECT page_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS n FROM a),
+    one AS (SELECT e.page_id, min(n) AS n FROM e JOIN a USING (page_id) WHERE contains(line, passage) GROUP BY e.page_id),
+    runs AS (SELECT a.page_id, s.size, n.n, array_to_string(list_filter(lines[n.n:n.n + s.size - 1], lambda x: x <> ''), ' ') AS text, passage FROM a, (SELECT unnest(range(2, 7)) AS size) s, (SELECT unnest(range(1, (SELECT max(len(lines)) FROM a) + 1)) AS n) n WHERE n.n <= len(lines) - s.size + 1),
+    several AS (SELECT page_id, arg_min(n, size * 1000000 + n) AS n FROM runs WHERE contains(text, passage) GROUP BY page_id),
+    found AS (SELECT a.page_id, passage, coalesce(one.n, several.n, 0) AS pg_file_line FROM a LEFT JOIN one USING (page_id) LEFT JOIN several USING (page_id))"""
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "pages").select("page_id", locate.file_lines(F.col("html")).alias("lines"))
+    words = F.filter(F.split(F.array_join("lines", " "), " "), lambda x: x != "")
+    return own.select("page_id", words.alias("w")).filter("size(w) >= 10").select("page_id", F.array_join(F.slice("w", 7, 4), " ").alias("passage"))
+
+
+@query("file_lines", f"WITH {_FOUND} SELECT * FROM found")
+def file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line of its page's source where a passage begins."""
+    return locate.with_lines(_asked(spark, sf_dir), table(spark, sf_dir, "pages").select("page_id", "html"), "page_id", "passage")
+
+
+@query("line_contexts", f"""WITH {_FOUND}, near AS (SELECT f.page_id, pg_file_line, n, 'Line ' || n || ': ' || line || CASE WHEN n = pg_file_line THEN '  <-- error here' ELSE '' END AS said FROM found f JOIN e ON e.page_id = f.page_id AND abs(n - pg_file_line) <= 1 WHERE pg_file_line > 0 AND line <> ''),
+    said AS (SELECT page_id, string_agg(said, chr(10) ORDER BY n) AS context FROM near GROUP BY page_id) SELECT f.page_id, pg_file_line, md5(coalesce(context, '')) AS context_md5 FROM found f LEFT JOIN said USING (page_id)""")
+def line_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M57, M59."""
+    files = table(spark, sf_dir, "pages").select("page_id", "html")
+    told = locate.line_context(file_lines(spark, sf_dir), files, "page_id")
+    return told.select("page_id", "pg_file_line", F.md5("context").alias("context_md5"))
+
+
+@query("verifier_verdicts")
+def verifier_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates as items, ten a batch, and replies made of them, whole, fenced, broken and missing."""
+    from variorum.queries import candidates
+
+    rows = candidates(spark, sf_dir).withColumns({"batch_id": F.col("item_id") * 100 + F.floor(F.col("seq") / 10), "item": F.pmod("seq", F.lit(10))})
+    answers = F.filter(F.array_sort(F.collect_list(F.struct(F.col("item").alias("index"), F.col("scan_text").alias("transcription"), F.lit("around it").alias("image_evidence"), (F.col("seq") % 7 == 0).alias("unable_to_verify")))), lambda x: x["index"] != 3)
+    replies = rows.groupBy("batch_id").agg(F.to_json(answers).alias("said"))
+    k = F.pmod("batch_id", F.lit(5))
+    replies = replies.select("batch_id", F.when(k == 1, F.concat(F.lit("Here:\n```json\n"), "said", F.lit("\n```"))).when(k == 2, "[no").when(k == 3, F.lit(None)).otherwise(F.col("said")).alias("reply"))
+    return verifier.batch_verdicts(rows, replies).select("item_id", "seq", "verdict", "confidence", "reasoning", "suggested_fix")
