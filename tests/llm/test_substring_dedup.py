@@ -50,6 +50,21 @@ def test_words_removed_are_those_of_brute_force(spark, seed):
     rows += [(500, ["same"] * 40), (501, ["same"] * 30), (502, [])]
     rng.shuffle(rows)
     df = spark.createDataFrame([(i, " \n".join(w), 7) for i, w in rows], "doc_id long, text string, grp int")
+    for hot_runs in (1000, 2):
+        got = sorted((r.doc_id, r.n_words, r.n_removed, r.text) for r in remove_repeats(df, hot_runs=hot_runs).collect())
+        assert got == brute(rows, 13)
+
+
+def test_a_common_run_in_many_contexts_and_a_very_long_text(spark):
+    """An eight-word run in 1500 contexts, a passage that many share, and a text of 30000 words that has both."""
+    rng = random.Random(9)
+    run, passage = [f"r{i}" for i in range(8)], [f"p{i}" for i in range(30)]
+    rows = []
+    for i in range(1500):
+        around = [f"w{rng.randint(0, 3)}" for _ in range(16)]
+        rows.append((i, around[:8] + run + around[8:] + (passage if i % 3 == 0 else [])))
+    rows.append((5000, [f"x{k}" for k in range(15000)] + run + passage + [f"x{k}" for k in range(15000)]))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(3)
     got = sorted((r.doc_id, r.n_words, r.n_removed, r.text) for r in remove_repeats(df).collect())
     assert got == brute(rows, 13)
 

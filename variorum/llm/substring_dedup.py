@@ -25,6 +25,8 @@ _U = np.uint64
 ANCHOR_WORDS = 8
 GROUP_BYTES = 8_000_000
 SHARD_WORDS = 30_000
+#: the windows of an anchor that more runs have go by a hash of their own
+HOT_RUNS = 1000
 #: Hashes travel as their low 40 bits; those that meet are of one shard or one anchor.
 _LOW = _U((1 << 40) - 1)
 
@@ -148,7 +150,7 @@ def _shard_of(anchors: np.ndarray, shards: int) -> np.ndarray:
     return (((anchors >> _U(32)) * _U(shards)) >> _U(32)).astype(np.int64)
 
 
-def _anchors(window: int, shards: int):
+def _anchors(window: int, shards: int, hot_runs: int):
     def run(key: tuple, group: pa.Table) -> pa.Table:
         group = _sorted_group(group)
         found, docs = [], []
@@ -162,20 +164,26 @@ def _anchors(window: int, shards: int):
         a, d = a[order], d[order].astype(np.int64)
         head = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if a.size else np.zeros(0, np.int64)
         several = np.maximum.reduceat(d, head) > np.minimum.reduceat(d, head) if a.size else np.zeros(0, bool)
-        return _pack(_shard_of(a[head], shards), key[0].as_py(), _five(a[head]), several.astype(np.uint8))
+        runs = np.diff(np.append(head, a.size))
+        return _pack(_shard_of(a[head], shards), key[0].as_py(), _five(a[head]), (np.minimum(runs, hot_runs + 1) * 2 + several).astype(np.uint32))
 
     return run
 
 
-def _shared(key: tuple, shard: pa.Table) -> pa.Table:
-    """Of each group's anchors those that several documents have."""
-    parts = _from_five(shard.column("c0"))
-    several = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in shard.column("c1")])
-    a = np.concatenate(parts)
-    _, code, count = np.unique(a, return_inverse=True, return_counts=True)
-    kept = (count > 1) | (np.bincount(code, several) > 0)
-    at = np.cumsum([0, *map(len, parts)])
-    return pa.table({"grp": shard.column("grp"), "shard": shard.column("shard"), "anchors": pa.array([_five(a[i:j][kept[code[i:j]]]).tobytes() for i, j in zip(at, at[1:], strict=False)], pa.binary())})
+def _shared(hot_runs: int):
+    def run(key: tuple, shard: pa.Table) -> pa.Table:
+        """Of each group's anchors those that several documents have, and whether they are hot ones."""
+        parts = _from_five(shard.column("c0"))
+        counts = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in shard.column("c1")])
+        a = np.concatenate(parts)
+        _, code, count = np.unique(a, return_inverse=True, return_counts=True)
+        kept = ((count > 1) | (np.bincount(code, counts & 1) > 0))[code]
+        hot = (np.bincount(code, counts >> 1) > hot_runs)[code].astype(np.uint8)
+        at = np.cumsum([0, *map(len, parts)])
+        pieces = [slice(i, j) for i, j in zip(at, at[1:], strict=False)]
+        return pa.table({"grp": shard.column("grp"), "shard": shard.column("shard"), "anchors": pa.array([_five(a[x][kept[x]]).tobytes() for x in pieces], pa.binary()), "hot": pa.array([hot[x][kept[x]].tobytes() for x in pieces], pa.binary())})
+
+    return run
 
 
 def _sequence_keys(h: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -189,19 +197,35 @@ def _sequence_keys(h: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.nda
 
 
 def _candidates(texts: pa.ChunkedArray, replies: pa.Table, window: int, shards: int):
-    """The passages around shared anchors: (row, words, rows' starts, run rows, first words, windows, anchors)."""
+    """The passages around shared anchors: (row, words, rows' starts, run rows, first words, windows, anchors).
+
+    Of a hot anchor each window is a passage of its own, with its own hash for an anchor:
+    equal windows still meet, but not all that stands around the anchor.
+    """
     known = replies.filter(pc.is_valid(replies.column("anchors")))
     shared = [x | _U(n << 40) for n, x in zip(known.column("shard").to_pylist(), _from_five(known.column("anchors")), strict=True)]
-    shared = np.sort(np.concatenate(shared)) if shared else np.zeros(0, _U)
+    shared = np.concatenate([np.zeros(0, _U), *shared])
+    hot = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x.as_buffer(), np.uint8) for x in known.column("hot"))]) > 0
+    order = np.argsort(shared, kind="stable")
+    shared, hot = shared[order], hot[order]
     for row, h, at, anchors in _windows(texts, window):
         rows, first, size = _runs(at, anchors, window)
         own = anchors[first]
         if shared.size:
             named = (own & _LOW) | (_shard_of(own, shards).astype(_U) << _U(40))
-            keep = shared[np.minimum(np.searchsorted(shared, named), shared.size - 1)] == named
+            place = np.minimum(np.searchsorted(shared, named), shared.size - 1)
+            keep = shared[place] == named
+            apart = hot[place[keep]]
         else:
-            keep = np.zeros(own.size, bool)
-        yield row, h, at, rows[keep], first[keep], size[keep], own[keep]
+            keep, apart = np.zeros(own.size, bool), np.zeros(0, bool)
+        rows, first, size, own = rows[keep], first[keep], size[keep], own[keep]
+        if apart.any():
+            pieces = np.where(apart, size, 1)
+            which = np.repeat(np.arange(size.size), pieces)
+            within = np.arange(which.size) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            apart, rows, first, size, own = apart[which], rows[which], first[which] + within, np.where(apart, 1, size)[which], own[which]
+            own[apart] = _sequence_keys(h, first[apart], np.full(int(apart.sum()), window))
+        yield row, h, at, rows, first, size, own
 
 
 def _passages(window: int, shards: int):
@@ -310,7 +334,7 @@ def _finish(window: int, shards: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, hot_runs: int = HOT_RUNS) -> DataFrame:
     """(id_col, n_words, n_removed, text): texts without the words that smaller documents have in windows of words.
 
     Words are runs of bytes other than ASCII white space, unchanged; the text's
@@ -321,7 +345,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Documents are dealt into groups of about GROUP_BYTES by a hash. From each group
     a shard gets each anchor once, and each sequence of words around a shared
     anchor once, however often the group holds it; the answers go back to the
-    groups. window is more than ANCHOR_WORDS.
+    groups. The windows around an anchor of more than hot_runs runs are dealt out
+    each by its own hash. window is more than ANCHOR_WORDS. Words are compared by 40
+    bits of their hashes, the one inexactness.
 
     Null and empty texts have no words. Rows with a null id have no place in the
     order: they lose nothing and nothing is lost to them. Rows that repeat an id
@@ -335,8 +361,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = own.filter("id is not null").withColumn("grp", F.pmod(F.xxhash64("id", F.lit(53)), F.lit(groups)))
     dealt = named.select("grp", "id", F.coalesce("text", F.lit("")).alias("text")).repartition(max(parallelism(spark), groups), "grp")
     packed = "shard int, grp long, " + ", ".join(f"c{k} binary" for k in range(5))
-    anchors = dealt.groupBy("grp").applyInArrow(_anchors(window, shards), "shard int, grp long, c0 binary, c1 binary")
-    shared = anchors.groupBy("shard").applyInArrow(_shared, "grp long, shard int, anchors binary")
+    anchors = dealt.groupBy("grp").applyInArrow(_anchors(window, shards, hot_runs), "shard int, grp long, c0 binary, c1 binary")
+    shared = anchors.groupBy("shard").applyInArrow(_shared(hot_runs), "grp long, shard int, anchors binary, hot binary")
     passages = dealt.groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(_passages(window, shards), packed)
     matched = passages.groupBy("shard").applyInArrow(_match(window), "grp long, keys binary, lens binary, earlier binary")
     replies = matched.unionByName(shared, allowMissingColumns=True)
