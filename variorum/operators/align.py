@@ -16,6 +16,7 @@ from variorum.functions.lexicon import COMMON_WORDS
 
 # fixed values of the placement: window scales, least window and score, what a step back may be
 SCALES, LEAST_WINDOW, LEAST_SCORE, STEP_BACK = (0.7, 0.85, 1.0, 1.15), 200, 0.35, 200
+LEAST_PHRASE = 8  # fixed value: the words of the shortest phrase
 _WORD = re.compile(r"\b[a-zA-Z]+\b")
 
 
@@ -24,15 +25,28 @@ def letter_words(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda x: x.rlike("^[a-z]+$"))
 
 
-def phrase_hits(docs: DataFrame, phrases: DataFrame, k: int) -> DataFrame:
-    """(doc_id, item_id, word_pos) of k-word phrases, by an equi-join on the k words."""
-    own = docs.select("doc_id", letter_words(F.col("text")).alias("w")).filter(F.size("w") >= k)
-    grams = own.select("doc_id", F.posexplode(F.expr(f"transform(sequence(1, size(w) - {k - 1}), i -> array_join(slice(w, i, {k}), ' '))")).alias("word_pos", "gram"))
-    probes = phrases.select("item_id", F.array_join("phrase", " ").alias("gram"))
-    return grams.join(probes, "gram").select("doc_id", "item_id", F.col("word_pos").cast("long").alias("word_pos"))
+#: a table of phrases this small is broadcast; a larger one is joined by their hashes
+BROADCAST_ROWS = 200_000
+
 
+def phrase_hits(docs: DataFrame, phrases: DataFrame, k: int) -> DataFrame:
+    """(doc_id, item_id, word_pos) of k-word phrases.
 
-def distinctive_phrases(pages: DataFrame, keys: list[str], text: str = "text", skip: int = 60, least_words: int = 8, most: int = 5) -> DataFrame:
+    Runs of k words are hashes, which meet those of the phrases; where they do, the
+    words themselves decide. Rows with a null doc_id aren't reported.
+    """
+    own = docs.select("doc_id", letter_words(F.col("text")).alias("w")).filter("doc_id is not null")
+    runs = own.filter(F.size("w") >= k).select("doc_id", F.posexplode(F.expr(f"transform(sequence(1, size(w) - {k - 1}), i -> xxhash64(slice(w, i, {k})))")).alias("word_pos", "h"))
+    probes = phrases.select("item_id", "phrase", F.xxhash64("phrase").alias("h"))
+    if probes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        probes = F.broadcast(probes)
+    met = runs.join(probes, "h").select("doc_id", "item_id", "word_pos", "phrase")
+    places = met.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "word_pos", "phrase")).alias("x"))
+    sure = own.join(places, "doc_id").select("doc_id", F.explode(F.expr(f"filter(x, y -> slice(w, y.word_pos + 1, {k}) = y.phrase)")).alias("y"))
+    return sure.select("doc_id", "y.item_id", F.col("y.word_pos").cast("long").alias("word_pos")).distinct()
+
+
+def distinctive_phrases(pages: DataFrame, keys: list[str], text: str = "text", skip: int = 60, least_words: int = LEAST_PHRASE, most: int = 5) -> DataFrame:
     """(keys, rank, phrase) of each page's longest sentences with rare words."""
     body = F.substring(F.col(text), skip + 1, 1 << 30)
     long = lambda parts, n: F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: F.length(x) > n)
@@ -110,34 +124,34 @@ def windows(book: str, texts: dict[int, str], placed: dict[int, int]) -> list[tu
 def global_align(pages: DataFrame, books: DataFrame, book: str = "conv_id", page: str = "turn", text: str = "text") -> DataFrame:
     """(book, scan_page, pg_start, pg_end, confidence) of pages in their book's text.
 
-    Phrases are found by a join; the order of pages and the windows are folds over
-    one book, which is a task's work. Books are dealt out by their key.
+    Phrases are found by a join on the hash of their first LEAST_PHRASE words, which
+    all have; the order of pages and the windows are folds over one book, which is a
+    task's work. Books are dealt out by their key.
     """
     phrases = distinctive_phrases(pages.filter(F.length(text) >= 50), [book, page], text)
-    probes = phrases.select(book, page, F.array_join("phrase", " ").alias("gram"), F.size("phrase").alias("k"))
-    sizes = [r.k for r in probes.select("k").distinct().orderBy("k").collect()]  # 8 to 25 words
+    probes = phrases.select(book, page, "phrase", F.xxhash64(F.slice("phrase", 1, LEAST_PHRASE)).alias("h"))
     words = books.select(book, letter_words(F.col("book_text")).alias("w"))
-    parts = [words.filter(F.size("w") >= k).select(book, F.lit(k).alias("k"), F.posexplode(F.expr(f"transform(sequence(1, size(w) - {k - 1}), i -> array_join(slice(w, i, {k}), ' '))")).alias("word_pos", "gram")) for k in sizes]
-    grams = parts[0] if parts else words.filter("false").select(book, F.lit(0).alias("k"), F.lit(0).alias("word_pos"), F.lit("").alias("gram"))
-    for more in parts[1:]:
-        grams = grams.unionByName(more)
-    hits = grams.join(probes, [book, "k", "gram"]).groupBy(book, page).agg(F.array_sort(F.collect_set(F.struct("word_pos", F.least(F.lit(1.0), F.col("k") / 12.0).alias("score")))).alias("hits"))
+    runs = words.filter(F.size("w") >= LEAST_PHRASE).select(book, F.posexplode(F.expr(f"transform(sequence(1, size(w) - {LEAST_PHRASE - 1}), i -> xxhash64(slice(w, i, {LEAST_PHRASE})))")).alias("word_pos", "h"))
+    hits = runs.join(probes, [book, "h"]).groupBy(book, page).agg(F.collect_set(F.struct("word_pos", "phrase")).alias("hits"))
+    bases = books.select(book, "book_text", letter_words(F.col("book_text")).alias("w"))
     rows = pages.join(hits, [book, page], "left").select(book, page, F.col(text).alias("page_text"), "hits")
 
     def fold(own: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
         if not len(base) or not len(own):
             return pd.DataFrame({book: [], "scan_page": [], "pg_start": [], "pg_end": [], "confidence": []}).astype({book: "int64", "scan_page": "int64", "pg_start": "int64", "pg_end": "int64", "confidence": "float64"})
         full = base["book_text"].iloc[0]
-        starts = [m.start() for m in _WORD.finditer(full)]
+        starts, words = [m.start() for m in _WORD.finditer(full)], list(base["w"].iloc[0])
         candidates, texts = [], {}
         for r in own.sort_values(page).itertuples():
             texts[int(getattr(r, page))] = r.page_text or ""
-            found = r.hits if r.hits is not None else []
-            candidates.append((int(getattr(r, page)), [(starts[h["word_pos"]], h["score"]) for h in found if h["word_pos"] < len(starts)]))
+            # the runs met by the hash of their first words; all words decide
+            found = [(int(h["word_pos"]), list(h["phrase"])) for h in (r.hits if r.hits is not None else [])]
+            sure = sorted({(at, min(1.0, len(own) / 12.0)) for at, own in found if words[at : at + len(own)] == own})
+            candidates.append((int(getattr(r, page)), [(starts[at], score) for at, score in sure if at < len(starts)]))
         out = windows(full, texts, place_monotonic(candidates))
         return pd.DataFrame([(own[book].iloc[0], *x) for x in out], columns=[book, "scan_page", "pg_start", "pg_end", "confidence"])
 
-    return rows.groupBy(book).cogroup(books.groupBy(book)).applyInPandas(fold, f"{book} long, scan_page long, pg_start long, pg_end long, confidence double")
+    return rows.groupBy(book).cogroup(bases.groupBy(book)).applyInPandas(fold, f"{book} long, scan_page long, pg_start long, pg_end long, confidence double")
 
 
 # --- sentence LCS

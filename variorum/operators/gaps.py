@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -14,7 +13,7 @@ from variorum.functions import text as T
 from variorum.functions.lexicon import HOLE_STOPS
 
 # fixed values: least words of a gap, anchors of a hole, coverage and confidence limits, the window of the look-up
-MIN_GAP, MIN_ANCHOR, MIN_COVERAGE, MIN_CONFIDENCE, WINDOW, FUZZY = 5, 4, 0.6, 0.65, 25, 0.6
+MIN_GAP, MIN_ANCHOR, MIN_COVERAGE, MIN_CONFIDENCE, WINDOW, FUZZY, FUZZY_WORDS = 5, 4, 0.6, 0.65, 25, 0.6, 5000
 REPORT_WORDS = {"uncovered": 50, "partial": 30, "content_hole": 5}
 
 
@@ -38,8 +37,8 @@ def _plain(text: str) -> list[str]:
 class BookIndex:
     """A book's word runs, indexed once per book and length."""
 
-    def __init__(self, text: str):
-        self.text, self.words = text.lower(), _plain(text)
+    def __init__(self, text: str, fuzzy_words: int | None = FUZZY_WORDS):
+        self.text, self.words, self.fuzzy_words = text.lower(), _plain(text), fuzzy_words
         self.runs: dict[int, set[str]] = {}
 
     def holds(self, gap: str) -> tuple[bool, float]:
@@ -55,7 +54,7 @@ class BookIndex:
             own = " ".join(_plain(" ".join(words[start : start + size])))
             if own in self.runs[size]:
                 return True, 1.0
-            if len(self.words) <= 5000:
+            if self.fuzzy_words is None or len(self.words) <= self.fuzzy_words:
                 for i in range(0, len(self.words) - size + 1, max(10, size)):
                     best = max(best, SequenceMatcher(None, own, " ".join(self.words[i : i + size]), autojunk=False).ratio())
                     if best >= FUZZY:
@@ -111,30 +110,30 @@ def holes(index: BookIndex, passage: str, page: str, least: int = MIN_GAP) -> li
 _GAP = "page long, strategy string, word_count long, preview string, coverage_ratio double, pg_verified boolean, pg_match_ratio double, confidence string, missing_words string"
 
 
-def all_gaps(pages: DataFrame, alignments: DataFrame, books: DataFrame, book: str = "conv_id", page: str = "turn") -> DataFrame:
+def all_gaps(pages: DataFrame, alignments: DataFrame, books: DataFrame, book: str = "conv_id", page: str = "turn", fuzzy_words: int | None = FUZZY_WORDS) -> DataFrame:
     """The gaps of all strategies (X8), each page against its own passage and its book's text.
 
-    Pages of a book are folded with its text, which is indexed once; books are
-    dealt out by their key. Holes count once (Q8).
+    Pages of a book meet its text, which travels and is indexed once; books are
+    dealt out by their key. Holes count once (Q8). Books of more than fuzzy_words
+    words, by the rule 5000, are looked up exactly alone; None looks into all nearly too.
     """
     spans = alignments.groupBy(book, F.col("scan_page").alias(page)).agg(F.min("pg_start").alias("pg_start"), F.max("pg_end").alias("pg_end"), F.max("confidence").alias("confidence"))
     body = pages.select(book, page, T.strip_page_header(F.col("page_text")).alias("t"), F.col("page_text"))
     rows = body.withColumn("non_content", T.is_non_content(F.col("t"))).join(spans, [book, page], "left")
-    both = rows.join(books, book)
-    ordered = both.repartition(book).sortWithinPartitions(book, page).select(book, page, "t", "page_text", "non_content", "pg_start", "pg_end", "confidence", "book_text")
+    own = rows.select(F.col(book).alias(book), F.col(page).alias("page"), "t", "page_text", "non_content", "pg_start", "pg_end", "confidence")
 
     def level(words: int, verified: bool, empty: bool) -> str:
         if empty or (verified and words < 20) or (not verified and words < 100):
             return "low"
         return "high" if verified and words >= 50 else "medium"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, index = None, None
-        for batch in batches:
-            out = []
-            for b, p, t, whole, empty, start, end, sure, text in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
-                if index is None or b != key:
-                    key, index = b, BookIndex(text)
+    def run(key: tuple, group: pa.Table, base: pa.Table) -> pa.Table:
+        out = []
+        text = base.column("book_text")[0].as_py() if base.num_rows else None
+        if text is not None:
+            index = BookIndex(text, fuzzy_words)
+            group = group.sort_by("page")
+            for b, p, t, whole, empty, start, end, sure in zip(*(group.column(i).to_pylist() for i in range(8)), strict=True):
                 if start is None:
                     words = len(t.split())
                     if words >= MIN_GAP:
@@ -146,11 +145,11 @@ def all_gaps(pages: DataFrame, alignments: DataFrame, books: DataFrame, book: st
                 out += [(b, p, "partial", n, gap[:500], ratio, verified, near, level(n, verified, False), "") for gap, n, ratio, near, verified in partial(index, passage, t)]
                 if sure >= MIN_CONFIDENCE:
                     out += [(b, p, "content_hole", n, words[:500], 0.0, True, 0.0, how, words) for words, n, how, _, _ in holes(index, passage, whole)]
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.float64(), pa.bool_(), pa.float64(), pa.string(), pa.string())
-            names = [book, *(x.split()[0] for x in _GAP.split(", "))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.float64(), pa.bool_(), pa.float64(), pa.string(), pa.string())
+        names = [book, *(x.split()[0] for x in _GAP.split(", "))]
+        return pa.Table.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
 
-    return ordered.mapInArrow(run, f"{book} long, {_GAP}")
+    return own.groupBy(book).cogroup(books.select(F.col(book).alias("key"), "book_text").groupBy("key")).applyInArrow(run, f"{book} long, {_GAP}")
 
 
 def for_report(gaps: DataFrame) -> DataFrame:

@@ -1,15 +1,12 @@
-"""Where a difference stands in its book's file: line numbers, surrounding lines, trimmed edges."""
+"""Where a difference stands in its book's file: line numbers, surrounding lines."""
 
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 # fixed values: how many lines a passage may span, the most words looked for word by word, and the share that must be alike
 SPAN_LINES, FUZZY_WORDS, FUZZY_SHARE = 6, 5, 0.8
@@ -119,34 +116,6 @@ def location(chapter: Column, line: Column) -> Column:
     return F.concat_ws("; ", F.when(chapter != "", F.concat(F.lit("Chapter: "), chapter)), F.when(line > 0, F.concat(F.lit("Line "), line.cast("string"))))
 
 
-# fixed values: the signs that edges may share, and the quotes that count as one another
-EDGES, QUOTES = set("'\";:,.!?()[]*—– ‘’“”"), {"‘": "'", "’": "'", "“": '"', "”": '"'}
-
-
-def trimmed(a: str, b: str) -> tuple[str, str]:
-    """Two texts without the punctuation that both begin or end with; as they are if one would be empty."""
-
-    def shared(pairs: Iterator[tuple[str, str]]) -> int:
-        n = 0
-        for x, y in pairs:
-            if x not in EDGES or y not in EDGES or QUOTES.get(x, x) != QUOTES.get(y, y):
-                break
-            n += 1
-        return n
-
-    head = shared(zip(a, b, strict=False))
-    x, y = a[head:], b[head:]
-    tail = shared(zip(reversed(x), reversed(y), strict=False))
-    x, y = x[: len(x) - tail], y[: len(y) - tail]
-    return (x, y) if x and y else (a, b)
-
-
-@F.pandas_udf(StructType([StructField("a", StringType()), StructField("b", StringType())]))
-def trim_shared_edges(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """N45 of columns."""
-    return pd.DataFrame([trimmed(x or "", y or "") for x, y in zip(a, b, strict=True)], columns=["a", "b"])
-
-
 def leaf_number(image: Column, page: Column) -> Column:
     """The scan viewer's number of a page, one less than that of its image file; the page itself without one."""
     number = F.regexp_extract(F.coalesce(image, F.lit("")), r"_(\d+)\.\w+$", 1)

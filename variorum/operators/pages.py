@@ -54,6 +54,22 @@ def neighbours(rows: DataFrame, book: str, page: str) -> DataFrame:
     return rows.withColumns({"prev_end": before, "next_start": after})
 
 
+def overlapping(a: DataFrame, b: DataFrame, key: str, a_span: tuple[str, str], b_span: tuple[str, str], width: int = 4096) -> DataFrame:
+    """Pairs of rows of one key whose spans [start, end) overlap, by an equi-join on bins of `width` characters.
+
+    A pair counts in the bin where its overlap begins, so that it is a row once.
+    """
+
+    def binned(df: DataFrame, span: tuple[str, str]) -> DataFrame:
+        low, high = F.floor(F.col(span[0]) / width), F.floor((F.col(span[1]) - 1) / width)
+        return df.filter(F.col(span[0]) < F.col(span[1])).withColumn("__bin", F.explode(F.sequence(low, high)))
+
+    met = binned(a, a_span).join(binned(b, b_span), [key, "__bin"])
+    starts = F.greatest(F.col(a_span[0]), F.col(b_span[0]))
+    both = (F.col(a_span[0]) < F.col(b_span[1])) & (F.col(b_span[0]) < F.col(a_span[1]))
+    return met.filter(both & (F.floor(starts / width) == F.col("__bin"))).drop("__bin")
+
+
 def running_headers(pages: DataFrame, book: str = "conv_id", page: str = "turn", text: str = "text") -> DataFrame:
     """Short lines that stand on two pages or more of a book."""
     lines = pages.select(book, page, F.explode(F.split(text, "\n")).alias("line")).select(book, page, F.trim("line").alias("line")).filter("line <> '' and length(line) <= 40")

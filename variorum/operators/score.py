@@ -26,12 +26,17 @@ def _steps(x: Column, *steps: tuple[float, float], last: float) -> Column:
     return out.otherwise(last)
 
 
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a value that is worked out once a row: the optimizer doesn't put its expression in place of its uses."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def find_near(text: Column, word: Column, offset: Column) -> Column:
     """Where the word stands within 50 characters of offset, by letter or by case; -1 for nowhere."""
     start = F.greatest(F.lit(0), offset - 50)
     region = F.substring(text, (start + 1).cast("int"), (offset + F.length(word) + 50 - start).cast("int"))
-    exact, folded = F.instr(region, word), F.instr(F.lower(region), F.trim(F.lower(word)))
-    return F.when(exact > 0, start + exact - 1).when(folded > 0, start + folded - 1).otherwise(-1)
+    places = F.transform(F.array(F.struct(start.alias("s"), region.alias("r"))), lambda x: F.struct(x["s"].alias("s"), F.instr(x["r"], word).alias("exact"), F.instr(F.lower(x["r"]), F.trim(F.lower(word))).alias("folded")))
+    return F.transform(places, lambda x: F.when(x["exact"] > 0, x["s"] + x["exact"] - 1).when(x["folded"] > 0, x["s"] + x["folded"] - 1).otherwise(-1))[0]
 
 
 def _context_score(near: Column, b: Column) -> Column:
@@ -79,11 +84,11 @@ def with_score(rows: DataFrame, text: str, offset: str, confidence: str, edit: C
     within 300 characters are a column of their own, made once a row.
     """
     a, b = F.col("pg_text"), F.col("scan_text")
-    found = find_near(F.col(text), a, F.col(offset))
-    own = rows.withColumn("__at", F.when(found < 0, F.col(offset)).otherwise(found)).withColumn("__start", F.greatest(F.lit(0), F.col("__at") - 300))
+    own = once(rows, "__found", find_near(F.col(text), a, F.col(offset)))
+    own = once(own, "__at", F.when(F.col("__found") < 0, F.col(offset)).otherwise(F.col("__found"))).withColumn("__start", F.greatest(F.lit(0), F.col("__at") - 300))
     near = F.substring(F.col(text), (F.col("__start") + 1).cast("int"), (F.col("__at") + F.length(a) + 300 - F.col("__start")).cast("int"))
-    own = own.withColumn("__near", T.tokens(F.lower(near)))
-    own = own.withColumn("__context", _context_score(F.col("__near"), b))
+    own = once(own, "__near", T.tokens(F.lower(near)))
+    own = once(own, "__context", _context_score(F.col("__near"), b))
     x, y = (F.lower(F.regexp_replace(F.trim(c), r"^[.,;:!?\"'“”]+|[.,;:!?\"'“”]+$", "")) for c in (a, b))
     alone = F.size(F.filter(T.tokens(b), lambda w: F.length(w) >= 3)) <= 1
     close = (F.length(x) > 2) & (F.length(y) > 2) & (1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y)) >= 0.5)
@@ -91,7 +96,7 @@ def with_score(rows: DataFrame, text: str, offset: str, confidence: str, edit: C
     own = own.withColumn("__edit", edit_score(a, b) if edit is None else edit)
     total = context * CONTEXT + F.col("__edit") * EDIT + alignment_score(F.col(confidence)) * ALIGN + length_score(a, b) * LENGTH
     scored = own.withColumn("score", F.when(a.contains("(absent") | b.contains("(absent"), 0.0).otherwise(total))
-    return scored.drop("__at", "__start", "__near", "__context", "__edit")
+    return scored.drop("__found", "__at", "__start", "__near", "__context", "__edit")
 
 
 def verdict(total: Column) -> Column:
@@ -202,10 +207,16 @@ def dedup_near(scored: DataFrame, keys: list[str], offset: str = "pg_offset", wi
 
 
 def page_stats(cands: DataFrame, page: str = "item_id") -> DataFrame:
-    """Totals, average, upper median and maximum of the rows per page."""
-    per = cands.groupBy(page).agg(F.count("*").alias("n"))
-    sorted_counts = F.sort_array(F.collect_list("n"))
-    return per.agg(F.sum("n").alias("total"), F.count("*").alias("pages"), F.avg("n").alias("average"), F.get(sorted_counts, F.floor(F.size(sorted_counts) / 2).cast("int")).alias("median"), F.max("n").alias("most"))
+    """Totals, average, upper median and maximum of the rows per page.
+
+    Pages are counted by their number of rows; only these counts, of which there are
+    no more than the square root of twice the rows, come together.
+    """
+    per = cands.groupBy(page).agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("m"))
+    up_to = F.sum("m").over(Window.orderBy("n"))
+    every = F.sum("m").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    placed = per.withColumn("up_to", up_to).withColumn("middle", F.floor(every / 2))
+    return placed.agg(F.sum(F.col("n") * F.col("m")).alias("total"), F.sum("m").alias("pages"), (F.sum(F.col("n") * F.col("m")) / F.sum("m")).alias("average"), F.min(F.when(F.col("up_to") > F.col("middle"), F.col("n"))).alias("median"), F.max("n").alias("most"))
 
 
 def noisiest(cands: DataFrame, page: str = "item_id", k: int = 10) -> DataFrame:

@@ -153,7 +153,7 @@ def alignment_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edition_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages of the other edition under each alignment."""
     m = pages.page_map(_pages(spark, sf_dir)).select("conv_id", F.col("turn").alias("b_page"), "start_offset", "end_offset")
-    return _alignments(spark, sf_dir).join(m, "conv_id").filter("start_offset < pg_end and pg_start < end_offset").select("conv_id", "scan_page", "b_page")
+    return pages.overlapping(_alignments(spark, sf_dir), m, "conv_id", ("pg_start", "pg_end"), ("start_offset", "end_offset")).select("conv_id", "scan_page", "b_page")
 
 
 @query("global_align")
