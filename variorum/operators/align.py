@@ -22,7 +22,7 @@ _WORD = re.compile(r"\b[a-zA-Z]+\b")
 
 def letter_words(c: Column) -> Column:
     """Lower-case words of ASCII letters alone."""
-    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda x: x.rlike("^[a-z]+$"))
+    return F.regexp_extract_all(F.lower(c), F.lit(r"(?<![\p{L}\p{N}_])[a-z]++(?![\p{L}\p{N}_])"), F.lit(0))
 
 
 #: a table of phrases this small is broadcast; a larger one is joined by their hashes

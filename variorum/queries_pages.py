@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from variorum.functions import lexicon
 from variorum.functions import text as T
-from variorum.operators import align, anchors, dictionary, editions, gaps, locate, pages, score, stitched, verifier
+from variorum.operators import align, anchors, dictionary, editions, gaps, locate, pages, score, sequential, stitched, verifier
 from variorum.operators.pairs import nearest_pairs
 from variorum.plans import compare, errata, verify
 from variorum.registry import SQL, query
@@ -162,6 +162,13 @@ def global_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.global_align(_pages(spark, sf_dir), pages.stitched(_pages(spark, sf_dir)))
 
 
+@query("sequential_align")
+def sequential_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages placed in their own book's text one after the other."""
+    own = _pages(spark, sf_dir)
+    return sequential.align_in_order(own, pages.stitched(own))
+
+
 @query("coarse_align")
 def coarse_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A21 to A26 between a conversation's two halves of pages and all of it."""
@@ -184,10 +191,11 @@ def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINES = f"ln AS (SELECT doc_id, unnest(string_split(text, {NL})) AS line, unnest(range(len(string_split(text, {NL})))) AS pos FROM documents)"
 
 
-@query("running_headers", f"WITH l AS (SELECT conv_id, turn, trim(unnest(string_split(text, {NL}))) AS line FROM conversations) SELECT conv_id, line, count(DISTINCT turn) AS n_pages FROM l WHERE line <> '' AND length(line) <= 40 GROUP BY conv_id, line HAVING count(DISTINCT turn) >= 2")
+@query("running_headers", f"WITH l AS (SELECT conv_id, turn, trim(unnest(string_split('Book ' || conv_id % 5 || {NL} || text, {NL}))) AS line FROM conversations) SELECT conv_id, line, count(DISTINCT turn) AS n_pages FROM l WHERE line <> '' AND length(line) <= 40 GROUP BY conv_id, line HAVING count(DISTINCT turn) >= 2")
 def running_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G13."""
-    return pages.running_headers(_pages(spark, sf_dir))
+    """Turns as pages with their book's name above."""
+    own = _pages(spark, sf_dir).withColumn("text", F.concat(F.lit("Book "), (F.col("conv_id") % 5).cast("string"), F.lit("\n"), "text"))
+    return pages.running_headers(own)
 
 
 _CHAPTERS = f"""{_LINES}, st AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM ln),
@@ -295,7 +303,7 @@ def best_at_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("near_repetitions")
 def near_repetitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W11's second half."""
-    return score.dedup_near(_scored(spark, sf_dir), ["item_id"])
+    return score.dedup_near(_scored(spark, sf_dir), ["item_id"]).select("item_id", "seq", "pg_offset")
 
 
 @query("per_page_stats")
@@ -324,6 +332,9 @@ def register_scores() -> None:
     SQL["error_scores"] = f"{base} SELECT item_id, seq, round(score, 6) AS score FROM scored"
     SQL["confidence_buckets"] = f"{base} SELECT count(*) FILTER (round(score, 6) >= 0.8) AS high, count(*) FILTER (round(score, 6) >= 0.5 AND round(score, 6) < 0.8) AS medium, count(*) FILTER (round(score, 6) < 0.5) AS low FROM scored"
     SQL["best_at_offset"] = f"{base} SELECT item_id, pg_offset // 40 AS bin, seq FROM scored QUALIFY row_number() OVER (PARTITION BY item_id, pg_offset // 40 ORDER BY round(score, 6) DESC, seq) = 1"
+    SQL["near_repetitions"] = base.replace("WITH ", "WITH RECURSIVE ", 1) + """, nr AS (SELECT item_id, seq, pg_offset, pg_text, scan_text, row_number() OVER (PARTITION BY item_id, pg_text, scan_text ORDER BY pg_offset, seq) AS n FROM scored),
+    kept AS (SELECT *, pg_offset AS last, TRUE AS keep FROM nr WHERE n = 1 UNION ALL SELECT r.*, CASE WHEN r.pg_offset - k.last >= 50 THEN r.pg_offset ELSE k.last END, r.pg_offset - k.last >= 50 FROM kept k JOIN nr r ON r.item_id = k.item_id AND r.pg_text = k.pg_text AND r.scan_text = k.scan_text AND r.n = k.n + 1)
+    SELECT item_id, seq, pg_offset FROM kept WHERE keep"""
     SQL["per_page_stats"] = f"{base}, per AS (SELECT item_id, count(*) AS n FROM scored GROUP BY item_id) SELECT sum(n)::BIGINT AS total, count(*) AS pages, avg(n) AS average, list_sort(list(n))[count(*) // 2 + 1] AS median, max(n) AS most FROM per"
     SQL["top_noisy_pages"] = f"{base} SELECT item_id, count(*) AS n FROM scored GROUP BY item_id ORDER BY n DESC, item_id LIMIT 10"
 
