@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from variorum.functions import lexicon
 from variorum.functions import text as T
-from variorum.operators import align, anchors, dictionary, editions, gaps, locate, pages, score, sequential, stitched, verifier
+from variorum.operators import align, anchors, dictionary, editions, gaps, locate, markdown, pages, score, sequential, stitched, verifier
 from variorum.operators.pairs import nearest_pairs
 from variorum.plans import compare, errata, verify
 from variorum.registry import SQL, query
@@ -329,6 +329,7 @@ def global_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def register_scores() -> None:
     base = _placed_sql()
+    SQL["review_report"] = _judged_sql()
     SQL["error_scores"] = f"{base} SELECT item_id, seq, round(score, 6) AS score FROM scored"
     SQL["confidence_buckets"] = f"{base} SELECT count(*) FILTER (round(score, 6) >= 0.8) AS high, count(*) FILTER (round(score, 6) >= 0.5 AND round(score, 6) < 0.8) AS medium, count(*) FILTER (round(score, 6) < 0.5) AS low FROM scored"
     SQL["best_at_offset"] = f"{base} SELECT item_id, pg_offset // 40 AS bin, seq FROM scored QUALIFY row_number() OVER (PARTITION BY item_id, pg_offset // 40 ORDER BY round(score, 6) DESC, seq) = 1"
@@ -622,3 +623,71 @@ def verifier_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.pmod("batch_id", F.lit(5))
     replies = replies.select("batch_id", F.when(k == 1, F.concat(F.lit("Here:\n```json\n"), "said", F.lit("\n```"))).when(k == 2, "[no").when(k == 3, F.lit(None)).otherwise(F.col("said")).alias("reply"))
     return verifier.batch_verdicts(rows, replies).select("item_id", "seq", "verdict", "confidence", "reasoning", "suggested_fix")
+
+
+# --- reports
+
+_JUDGED = "element_at(array('scan_correct', 'edition_variant', 'ambiguous', 'pg_correct', 'unable_to_verify', 'intentional_modernization', 'scan_correct'), cast(seq % 7 as int) + 1)"
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Candidates as judged errors of ten books, and these books."""
+    from variorum.queries import candidates
+
+    rows = candidates(spark, sf_dir).select(
+        (F.pmod("item_id", F.lit(10))).alias("book_id"), (F.col("item_id") * 1000 + F.col("seq")).alias("seq"), "pg_text", "scan_text", F.expr(_JUDGED).alias("verdict"), ((F.col("seq") % 11) / 10).alias("confidence"),
+        F.when(F.col("seq") % 13 == 0, "alignment_artifact").when(F.col("seq") % 5 == 0, "edition_variant").otherwise("wrong_word").alias("category"), (F.col("seq") % 3).alias("pg_file_line"), (F.col("item_id") % 40 + 7).alias("scan_page"),
+        F.when(F.col("seq") % 4 == 0, F.concat(F.lit("Chapter "), (F.col("seq") % 6).cast("string"))).alias("chapter_title"), F.when(F.col("seq") % 2 == 0, "read so").alias("reasoning"), F.lit("scan1").alias("scan_id"),
+    )
+    books = spark.range(10).select(F.col("id").alias("book_id"), F.concat(F.lit("Book "), F.col("id").cast("string")).alias("title"), F.lit("N. N.").alias("author"), F.lit("scan1").alias("scan_source"), F.lit(40).alias("pages_checked"), F.lit(50).alias("total_pages"), F.lit(0.8).alias("coverage"))
+    return rows, books
+
+
+def _judged_sql() -> str:
+    from variorum.queries import _CAND_SQL
+
+    marks = " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in markdown.REVIEW.items())
+    todo = " ".join(f"WHEN '{k}' THEN '{v[1]}'" for k, v in markdown.REVIEW.items())
+    return f"""WITH {_CAND_SQL}, e AS (SELECT ((item_id % 10) + 10) % 10 AS book_id, item_id * 1000 + seq AS seq, pg_text, scan_text, ['scan_correct', 'edition_variant', 'ambiguous', 'pg_correct', 'unable_to_verify', 'intentional_modernization', 'scan_correct'][seq % 7 + 1] AS verdict, (seq % 11) / 10 AS confidence,
+      CASE WHEN seq % 13 = 0 THEN 'alignment_artifact' WHEN seq % 5 = 0 THEN 'edition_variant' ELSE 'wrong_word' END AS category, seq % 3 AS line, item_id % 40 + 7 AS page, CASE WHEN seq % 4 = 0 THEN 'Chapter ' || seq % 6 ELSE '' END AS chapter, CASE WHEN seq % 2 = 0 THEN 'read so' ELSE '' END AS reasoning FROM cand),
+    r AS (SELECT * FROM e WHERE category <> 'alignment_artifact' AND NOT (verdict = 'scan_correct' AND confidence >= 0.8 AND line > 0)), b AS (SELECT unnest(range(10)) AS book_id), c AS (SELECT b.book_id, count(r.seq) AS items FROM b LEFT JOIN r USING (book_id) GROUP BY b.book_id),
+    t AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY seq) AS n FROM r WHERE verdict <> 'scan_correct' OR confidence < 0.8),
+    lines AS (SELECT book_id, 0 AS section, 0::BIGINT AS n, 'Quality Audit Review Items: Book ' || book_id || ' (PG #' || book_id || ')' || chr(10) || chr(10) || CASE WHEN items = 0 THEN '0 items need review - errata_email.txt is ready to submit.' ELSE items || ' items need your decision before submission' || chr(10) || '---' || chr(10) END AS text FROM c
+      UNION ALL SELECT book_id, 1, n, CASE verdict {marks} END || ' ' || CASE WHEN line > 0 THEN 'Line ' || line || ', ' ELSE '' END || 'Page ' || page || CASE WHEN chapter <> '' THEN ', (' || chapter || ')' ELSE '' END || chr(10) || '    PG text: ' || regexp_replace(pg_text, '<[^>]+>', '', 'g') || chr(10) || '    Scan text: ' || regexp_replace(scan_text, '<[^>]+>', '', 'g')
+        || chr(10) || '    Verdict: ' || verdict || ' (' || round(confidence * 100)::BIGINT || '%)' || CASE WHEN reasoning <> '' THEN chr(10) || '    Reasoning: ' || reasoning ELSE '' END || chr(10) || '    Action needed: ' || CASE verdict {todo} END || chr(10) || '    Scan page: https://archive.org/details/scan1/page/n' || page || '/mode/1up' || chr(10) FROM t)
+    SELECT book_id, section, n, md5(text) AS text_md5 FROM lines"""
+
+
+@query("review_report")
+def review_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M61, F49 to F53."""
+    errors, books = _judged(spark, sf_dir)
+    return markdown.review_lines(errors, books).select("book_id", "section", "n", F.md5("text").alias("text_md5"))
+
+
+@query("audit_report")
+def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of ten books as texts."""
+    errors, books = _judged(spark, sf_dir)
+    return markdown.document(markdown.audit_lines(errors, books))
+
+
+@query("gap_report")
+def gap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gaps of coverage_gaps as lines."""
+    own = _pages(spark, sf_dir).select(F.col("conv_id").alias("book_id"), F.col("turn").alias("page_num"), "text")
+    kept = own.filter("(book_id + page_num) % 5 <> 0")
+    base = pages.stitched(kept, "book_id", "page_num")
+    al = pages.page_map(kept, "book_id", "page_num").select("book_id", F.col("page_num").alias("scan_page"), F.col("start_offset").alias("pg_start"), F.col("end_offset").alias("pg_end"), F.lit(0.9).alias("confidence"))
+    found = cut(gaps.all_gaps(pages.page_map(own, "book_id", "page_num"), al, base, "book_id", "page_num"))
+    return markdown.gap_lines(found, own, al, base.withColumnRenamed("book_text", "body_text"))
+
+
+@query("comparison_report")
+def comparison_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M74, T6, T11."""
+    from variorum.queries import variant_classification
+
+    rows = variant_classification(spark, sf_dir).select(F.pmod("item_id", F.lit(10)).alias("book_id"), F.col("item_id").alias("b_page"), "seq", "variant", "significance", F.lit(0.9).alias("confidence"), F.concat(F.lit("a"), F.col("seq").cast("string")).alias("pg_text"), F.lit("b").alias("scan_text"))
+    return markdown.comparison_report(rows)
+
