@@ -29,16 +29,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder, so that lost executors don't lose it.
 
-    The folder is spark.checkpoint.dir; a temporary one is set only where the
-    session names none, as in local tests.
+    The folder is spark.checkpoint.dir. Where the session names none, a temporary one
+    is set on a local master, as in tests; on a cluster that is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="variorum-checkpoint-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or local_folder(spark, "checkpoint"))
     return df.checkpoint(eager=True)
 
 
+def local_folder(spark: SparkSession, name: str) -> str:
+    """A temporary folder of this machine, for sessions that run on it alone."""
+    if not is_local(spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix=f"variorum-{name}-")
+
+
+def is_local(master: str) -> bool:
+    """Whether a master runs everything in the driver; local-cluster doesn't."""
+    return master == "local" or master.startswith("local[")
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from variorum.runtime import local_folder
+
 
 def shared_folder(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{named or tempfile.mkdtemp(prefix='variorum-stream-')}/stream-{uuid.uuid4().hex}"
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or local_folder(spark, 'stream')}/stream-{uuid.uuid4().hex}"
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:
