@@ -323,5 +323,9 @@ def extract(pages: DataFrame, html_col: str = "html", name: str = "text", chain:
 
 
 def digest(pages: DataFrame) -> DataFrame:
+    """(page_id, url, text, n_chars) of each page, a row a row: null and empty pages have an empty text, repeated ones repeat.
+
+    Null ids and addresses stay null; other columns are not read.
+    """
     found = extract(pages.select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

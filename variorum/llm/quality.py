@@ -31,7 +31,7 @@ def measures(text: bytes, hashes: np.ndarray) -> np.ndarray | None:
     letters = n - len(text.translate(None, _LETTERS))
     counts = Counter(words)
     runs = rolling(hashes, 5)
-    ends = sum(w[-1] in b".?!" for w in counts.elements()) if n < 20_000 else sum(c for w, c in counts.items() if w[-1] in b".?!")
+    ends = sum(c for w, c in counts.items() if w[-1] in b".?!")
     return np.array(
         [
             (n - len(text.translate(None, _SYMBOLS))) / n,
@@ -211,7 +211,7 @@ def _scorer(model: Scorer, text_at: int):
                 post += posterior(np.array([votes(m) for m in seen]), model.chance, model.share).tolist()
                 for m, (at, value) in zip(seen, hashed_features(data, offs, seen), strict=True):
                     score.append(0.0 if m is None else model.score(at, value))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(post, pa.float64()), pa.array(score, pa.float64())], names=[*batch.schema.names, "__posterior", "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(post, pa.float64()), pa.array(score, pa.float64())], names=[*batch.schema.names, "quality_posterior", "quality_score"])
 
     return run
 
@@ -227,5 +227,5 @@ def score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", thres
     model = model or fit(docs, text_col, id_col)
     own = docs.drop("quality_posterior", "quality_score", "quality_keep")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
-    scored = own.mapInArrow(_scorer(model, own.columns.index(text_col)), f"{schema}, __posterior double, __score double")
-    return scored.select(*own.columns, F.col("__posterior").alias("quality_posterior"), F.col("__score").alias("quality_score"), (F.col("__score") >= threshold).alias("quality_keep"))
+    scored = own.mapInArrow(_scorer(model, own.columns.index(text_col)), f"{schema}, quality_posterior double, quality_score double")
+    return scored.withColumn("quality_keep", F.col("quality_score") >= threshold)
