@@ -19,7 +19,11 @@ ORACLE_SQL = None
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality scorer doesn't reject."""
+    """Documents that the quality scorer doesn't reject.
+
+    Null, empty and blank texts score 0 and go. Repeated rows have one score and stay
+    or go together. No row, no result.
+    """
     attach(spark)
     return quality.score(docs).filter("quality_keep").select(docs.columns)
 
@@ -29,7 +33,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Where ids repeat, rows of equal id and text are one, and each text is a document
     of its own, of which a component keeps the one of smallest id, then of least text
-    hash: a text isn't dropped for another one of its id. Rows with a null id are kept.
+    hash: a text isn't dropped for another one of its id. Rows with a null id are kept,
+    and so are null and empty texts, which are like nothing.
     """
     attach(spark)
     found = cut(near_dedup.near_duplicates(docs))
@@ -44,13 +49,21 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none, and rows with a null id stay. Rows that repeat an
+    id go together, where one of them holds an item.
+    """
     attach(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind; n_chars is that of the new text."""
+    """Documents with personal data replaced by its kind; n_chars is that of the new text.
+
+    Null texts stay null, as does their n_chars; each row stands for itself, whatever
+    its id, so that repeated rows and null ids stay.
+    """
     attach(spark)
     out = pii.redact(docs)
     if "n_chars" in docs.columns:
@@ -59,7 +72,11 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 2048 tokens."""
+    """Pieces of documents in sequences of at most 2048 tokens.
+
+    A null or empty text is the end's id alone. Repeated rows are packed as often as
+    they occur, and null ids like any other.
+    """
     attach(spark)
     pieces = packing.pack(docs, tokenizer_path())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
