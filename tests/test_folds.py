@@ -137,7 +137,7 @@ def test_global_alignment_finds_pages_where_they_stand(spark, seed):
         assert abs(difflib.SequenceMatcher(None, a, b).ratio() - r.confidence) < 1e-9
 
 
-@pytest.mark.parametrize("name", ["diff_flat", "diff_recursive", "diff_stitched", "diff_category_summary", "errata_errors", "edition_variants", "edition_line_breaks", "global_align", "sequential_align", "coarse_align", "coverage_gaps", "page_places", "tracked_pages", "body_starts", "global_replacements", "stitched_errors", "verifier_verdicts", "audit_report", "gap_report", "comparison_report", "running_headers", "near_repetitions"])
+@pytest.mark.parametrize("name", ["diff_flat", "diff_recursive", "diff_stitched", "diff_category_summary", "errata_errors", "edition_variants", "edition_line_breaks", "global_align", "sequential_align", "coarse_align", "coverage_gaps", "page_places", "tracked_pages", "body_starts", "global_replacements", "stitched_errors", "verifier_verdicts", "audit_report", "gap_report", "comparison_report", "text_chunks", "report_json", "recurring_pairs", "running_headers", "near_repetitions"])
 def test_queries_have_rows_over_their_tables(spark, name):
     rows = queries.QUERIES[name](spark, DATA)
     n = rows.count()

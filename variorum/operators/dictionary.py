@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from variorum.functions import lexicon
 
 
-def fold(c: Column) -> Column:
-    """Without accents, by an Arrow function; ASCII text is left as it is."""
+def fold(c: Column, form: str = "NFD") -> Column:
+    """Without accents, in a normal form, by an Arrow function; ASCII text is left as it is."""
 
     @F.pandas_udf("string")
     def bare(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: x if x is None else "".join(ch for ch in unicodedata.normalize("NFD", x) if not unicodedata.combining(ch)))
+        return s.map(lambda x: x if x is None else "".join(ch for ch in unicodedata.normalize(form, x) if not unicodedata.combining(ch)))
 
     return F.when(c.rlike(r"[^\x00-\x7F]"), bare(c)).otherwise(c)
 

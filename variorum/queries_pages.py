@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from variorum.functions import lexicon
 from variorum.functions import text as T
-from variorum.operators import align, anchors, dictionary, editions, gaps, locate, markdown, pages, score, sequential, stitched, verifier
+from variorum.operators import align, anchors, dictionary, editions, exports, gaps, locate, markdown, pages, score, sequential, stitched, verifier
 from variorum.operators.pairs import nearest_pairs
 from variorum.plans import compare, errata, verify
 from variorum.registry import SQL, query
@@ -691,3 +691,49 @@ def comparison_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = variant_classification(spark, sf_dir).select(F.pmod("item_id", F.lit(10)).alias("book_id"), F.col("item_id").alias("b_page"), "seq", "variant", "significance", F.lit(0.9).alias("confidence"), F.concat(F.lit("a"), F.col("seq").cast("string")).alias("pg_text"), F.lit("b").alias("scan_text"))
     return markdown.comparison_report(rows)
 
+
+
+# --- exports and batches
+
+
+@query("edition_info", f"""WITH t AS (SELECT page_id, html, substring(html, greatest(strpos(html, '{exports.START}'), 1)::INT, {exports.BODY}) AS body FROM pages) SELECT page_id, coalesce({", ".join(f"nullif(trim(regexp_extract(body, '(?i){p}', 1)), '')" for p in exports.YEARS)}) AS year,
+    coalesce({", ".join(f"nullif(trim(regexp_extract(left(body, {exports.FRONT}), '{p}', 1)), '')" for p in exports.PUBLISHERS)}) AS publisher, nullif(left(trim(regexp_extract(left(html, {exports.HEAD}), 'Produced by\s+(.+?)(?:\n|$)', 1)), 200), '') AS transcriber_notes FROM t""")
+def edition_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F61 over page sources as books."""
+    return table(spark, sf_dir, "pages").select("page_id", exports.edition_info(F.col("html")).alias("i")).select("page_id", "i.year", "i.publisher", "i.transcriber_notes")
+
+
+@query("work_queue", "WITH b AS (SELECT c_custkey AS book_id, c_acctbal AS rank, CASE WHEN c_custkey % 3 = 0 THEN 'german' ELSE 'english' END AS language, CASE WHEN c_custkey % 5 <> 0 THEN 'scan' || c_custkey END AS scan_id FROM customer), q AS (SELECT * FROM b WHERE language = 'english' AND scan_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM orders o WHERE o_custkey = book_id AND o_orderstatus = 'F') AND book_id % 7 <> 0) SELECT book_id, scan_id FROM q ORDER BY rank, book_id LIMIT 50 OFFSET 10")
+def work_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as books, those with a finished order as done; the queue's second lot of fifty at the tenth place."""
+    books = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("book_id"), F.col("c_acctbal").alias("rank"), F.when(F.col("c_custkey") % 3 == 0, "german").otherwise("english").alias("language"), F.when(F.col("c_custkey") % 5 != 0, F.concat(F.lit("scan"), F.col("c_custkey").cast("string"))).alias("scan_id"))
+    done = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("book_id"))
+    skip = books.filter("book_id % 7 = 0").select("book_id", F.lit("anthology").alias("reason"))
+    return exports.work_queue(books, done, skip, 10, 50)[0].select("book_id", "scan_id")
+
+
+@query("category_changes", "WITH a AS (SELECT event_type AS category, count(*) AS n FROM events WHERE event_id % 2 = 0 AND value > 0 GROUP BY 1), b AS (SELECT event_type AS category, count(*) AS n FROM events WHERE event_id % 2 = 1 GROUP BY 1) SELECT coalesce(a.category, b.category) AS category, coalesce(a.n, 0) AS before, coalesce(b.n, 0) AS after, coalesce(b.n, 0) - coalesce(a.n, 0) AS delta FROM a FULL JOIN b ON a.category = b.category")
+def category_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event types as categories, of two halves of the log."""
+    e = table(spark, sf_dir, "events").withColumnRenamed("event_type", "category")
+    a, b = (x.groupBy("category").agg(F.count("*").alias("n")) for x in (e.filter("event_id % 2 = 0 and value > 0"), e.filter("event_id % 2 = 1")))
+    return exports.compare_counts(a, b)
+
+
+@query("text_chunks")
+def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N8."""
+    own = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(exports.text_chunks(F.col("text"))).alias("seq", "chunk"))
+    return own.select("doc_id", "seq", "chunk")
+
+
+@query("report_json")
+def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S57, S60 to S63."""
+    return exports.report_json(*_judged(spark, sf_dir))
+
+
+@query("recurring_pairs")
+def recurring_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G24, N43."""
+    return exports.recurring(_judged(spark, sf_dir)[0])[0]
