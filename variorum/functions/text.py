@@ -211,3 +211,20 @@ def jaccard(a: Column, b: Column) -> Column:
     """X5 of two arrays without repeats; 0 for two empty ones."""
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+
+
+# fixed values: the words that make a text English, and how much of it is looked at for them
+ENGLISH, LOOKED_AT = ("the", "and", "of", "to", "a", "in", "is", "it", "that", "was"), 5000
+
+
+def language_guess(text: Column, looked_at: int | None = LOOKED_AT) -> Column:
+    """scripts and umlauts over the whole text, English words by the rule in its first 5000 characters, with None in all of it."""
+    head = text if looked_at is None else F.substring(text, 1, looked_at)
+    english = F.size(F.filter(F.split(F.lower(head), r"\s+"), lambda x: F.regexp_replace(x, r"[.,;:!?\"']+$", "").isin(*ENGLISH)))
+    return (
+        F.when(F.regexp_count(text, F.lit(r"[\x{4e00}-\x{9fff}]")) > 50, "cjk")
+        .when(F.regexp_count(text, F.lit(r"[\x{0400}-\x{04ff}]")) > 50, "cyrillic")
+        .when(F.regexp_count(F.lower(text), F.lit("[äöüß]")) > 20, "german")
+        .when(english > 20, "english")
+        .otherwise("unknown")
+    )

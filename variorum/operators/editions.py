@@ -59,14 +59,15 @@ def overall(a: Column, a_score: Column, b: Column, b_confidence: Column) -> tupl
     return result, confidence
 
 
-def line_profile(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def line_profile(docs: DataFrame, key: str = "doc_id", text: str = "text", most_lines: int | None = 2000) -> DataFrame:
     """Per text the modal length of its long lines, the share near it, and whether breaks are preserved.
 
-    As the rule says, up to 2000 lines longer than 40 characters count; of equally
-    frequent lengths the one seen first comes first.
+    By the rule the first most_lines lines of more than 40 characters count, with None
+    all of them; of equally frequent lengths the one seen first comes first.
     """
     lines = docs.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line")).filter("trim(line) <> '' and length(line) > 40")
-    lines = lines.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("pos"))).filter("rank <= 2000")
+    if most_lines is not None:
+        lines = lines.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("pos"))).filter(F.col("rank") <= most_lines)
     counts = lines.groupBy(key, F.length("line").alias("width")).agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     order = Window.partitionBy(key).orderBy(F.col("n").desc(), "first")
     ranked = counts.withColumn("rank", F.row_number().over(order)).withColumn("modal", F.first("width").over(order))
@@ -84,11 +85,18 @@ def line_endings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def matching_endings(pairs: DataFrame, endings: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(a_id, b_id, total, matched): lines of a with an equal ending at about the same place in b; each counts once."""
+    """(a_id, b_id, total, matched): lines of a with an equal ending at about the same place in b; each counts once.
+
+    Places are dealt into bins as wide as a pair's tolerance, so that a word that ends
+    many lines meets those near by alone.
+    """
     a = pairs.join(endings.toDF("a_id", "a_idx", "word"), "a_id")
     sizes = a.groupBy("a_id", "b_id").agg(F.count("*").alias("total"))
-    b = endings.toDF("b_id", "b_idx", "word")
-    near = a.join(sizes, ["a_id", "b_id"]).join(b, ["b_id", "word"]).filter(F.abs(F.col("a_idx") - F.col("b_idx")) <= F.greatest(F.lit(5.0), F.col("total") * 0.1))
+    b = pairs.join(endings.toDF("b_id", "b_idx", "word"), "b_id").join(sizes, ["a_id", "b_id"])
+    wide = F.greatest(F.lit(5.0), F.col("total") * 0.1)
+    dealt = b.withColumn("bin", F.floor(F.col("b_idx") / wide)).withColumn("bin", F.explode(F.sequence(F.col("bin") - 1, F.col("bin") + 1)))
+    own = a.join(sizes, ["a_id", "b_id"]).withColumn("bin", F.floor(F.col("a_idx") / wide))
+    near = own.join(dealt.drop("total"), ["a_id", "b_id", "word", "bin"]).filter(F.abs(F.col("a_idx") - F.col("b_idx")) <= wide)
     hits = near.select("a_id", "b_id", "a_idx").distinct().groupBy("a_id", "b_id").agg(F.count("*").alias("matched"))
     return sizes.join(hits, ["a_id", "b_id"], "left").fillna(0, ["matched"])
 

@@ -137,21 +137,14 @@ def non_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("doc_id", F.md5("t").alias("body_md5"), T.is_non_content(F.col("t")).alias("non_content"))
 
 
-# fixed values: the words that make a text English, and how much of it is looked at for them
-ENGLISH, LOOKED_AT = ("the", "and", "of", "to", "a", "in", "is", "it", "that", "was"), 5000
-
-
 @query(
     "language_heuristic",
     f"""SELECT doc_id, lang, CASE WHEN len(regexp_extract_all(text, '[\\x{{4e00}}-\\x{{9fff}}]')) > 50 THEN 'cjk' WHEN len(regexp_extract_all(text, '[\\x{{0400}}-\\x{{04ff}}]')) > 50 THEN 'cyrillic' WHEN len(regexp_extract_all(lower(text), '[äöüß]')) > 20 THEN 'german'
-        WHEN len(list_filter(string_split_regex(lower(substring(text, 1, {LOOKED_AT})), '\\s+'), lambda x: regexp_replace(x, '[.,;:!?"'']+$', '') IN ({", ".join(f"'{w}'" for w in ENGLISH)}))) > 20 THEN 'english' ELSE 'unknown' END AS guess FROM documents""",
+        WHEN len(list_filter(string_split_regex(lower(substring(text, 1, {T.LOOKED_AT})), '\\s+'), lambda x: regexp_replace(x, '[.,;:!?"'']+$', '') IN ({", ".join(f"'{w}'" for w in T.ENGLISH)}))) > 20 THEN 'english' ELSE 'unknown' END AS guess FROM documents""",
 )
 def language_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """scripts and umlauts over the whole text, English words in its first 5000 characters, as the rule says."""
-    t = F.col("text")
-    english = F.size(F.filter(F.split(F.lower(F.substring(t, 1, LOOKED_AT)), r"\s+"), lambda x: F.regexp_replace(x, r"[.,;:!?\"']+$", "").isin(*ENGLISH)))
-    guess = F.when(F.regexp_count(t, F.lit(r"[\x{4e00}-\x{9fff}]")) > 50, "cjk").when(F.regexp_count(t, F.lit(r"[\x{0400}-\x{04ff}]")) > 50, "cyrillic").when(F.regexp_count(F.lower(t), F.lit("[äöüß]")) > 20, "german").when(english > 20, "english").otherwise("unknown")
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", guess.alias("guess"))
+    """F60."""
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", T.language_guess(F.col("text")).alias("guess"))
 
 
 # --- candidates and rules
