@@ -58,3 +58,16 @@ def test_ties_and_null_ids_have_an_order(spark):
     rows = [(1, "b"), (1, "a"), (None, "z"), (2, "c")]
     got = P.with_next(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").filter("not end").collect()
     assert {(r.id, r.text): r.next_text for r in got} == {(2, "c"): "a", (1, "a"): "b", (1, "b"): "z", (None, "z"): "c"}
+
+
+def test_spans_are_put_in_order_by_parts(spark):
+    rng = random.Random(2)
+    spans = sorted({rng.randint(-(1 << 53), 1 << 53) for _ in range(40)} | set(range(-3, 30)) | {5000, 5001, -(1 << 62)})
+    df = spark.createDataFrame([(x,) for x in spans], "span long")
+    want = {x: spans[k - 1] for k, x in enumerate(spans)}
+    for one_task in (1000, 3):
+        assert {r.span: r.before for r in P._before(df, one_task).collect()} == want
+    rows = [(x << 10 | k, f"{x} {k}") for x in spans[1:] for k in (1, 7)]
+    got = P.with_next(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", one_task=3).filter("not end").collect()
+    rows.sort(reverse=True)
+    assert {r.id: r.next_text for r in got} == {a[0]: b[1] for a, b in zip(rows, rows[1:] + rows[:1])}

@@ -70,3 +70,10 @@ def test_empty_table(spark):
 def test_repeated_rows_and_null_ids_are_packed_each(spark, rows):
     got = P.pack(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_path()).collect()
     assert sorted((p.doc_id or -1, p.length) for p in got) == [(-1, 1), (-1, 2), (1, 2), (1, 2)]
+
+
+def test_rows_of_one_id_are_dealt_to_all_groups(spark):
+    df = spark.createDataFrame([(7, "the same words")] * 400 + [(None, "the same words")] * 400, "doc_id long, text string")
+    got = P.pack(df, tokenizer_path(), group_docs=50).collect()
+    groups = [p.sequence_id >> 32 for p in got]
+    assert len(got) == 800 and len(set(groups)) == 16 and max(groups.count(g) for g in set(groups)) < 100

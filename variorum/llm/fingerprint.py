@@ -12,11 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from variorum.runtime import parallelism
+from variorum.runtime import cut, parallelism
 
 SAMPLES = 40
 SPAN = 1024
-BROADCAST_ROWS = 100_000
+#: as many spans one task puts in order
+ONE_TASK_ROWS = 100_000
 
 
 #: The logarithm that stands for no occurrence: it can't be least, and stays within a long.
@@ -55,21 +56,22 @@ def _hashed_words(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _signed(counted: DataFrame, keys: list[str], weights: list[str], samples: int) -> DataFrame:
-    """(keys, a signature named after each weight, value) of (keys, term, weights).
+def _signed(counted: DataFrame, keys: list[str], weights: list[str], samples: int, carried: list[str] | None = None) -> DataFrame:
+    """(keys, a signature named after each weight, carried) of (keys, term, weights, carried).
 
-    A signature has 4 hex digits per sample and is empty without weight; value is
-    the greatest term.
+    A signature has 4 hex digits per sample and is empty without weight; of a carried
+    column the greatest value stays.
     """
     logs = [F.when(F.col(w) > 0, F.log(F.col(w).cast("double"))).otherwise(ABSENT).alias(f"ln_{w}") for w in weights]
     found = _samples("term", [f"ln_{w}" for w in weights], samples)
     least = [F.min(x).alias(f"{w}_{k}") for w, own in zip(weights, found, strict=True) for k, x in enumerate(own)]
-    least = counted.select(*keys, "term", *weights, *logs).groupBy(*keys).agg(F.max("term").alias("value"), *(F.max(w).alias(w) for w in weights), *least)
+    most = [F.max(c).alias(c) for c in [*weights, *(carried or [])]]
+    least = counted.select("*", *logs).groupBy(*keys).agg(*most, *least)
 
     def signature(w: str) -> Column:
         return F.when(F.col(w) > 0, F.concat(*(F.lpad(F.lower(F.hex(F.col(f"{w}_{k}").bitwiseAND(0xFFFF))), 4, "0") for k in range(samples)))).otherwise("")
 
-    return least.select(*keys, "value", *(signature(w).alias(w) for w in weights))
+    return least.select(*keys, *(signature(w).alias(w) for w in weights), *(carried or []))
 
 
 def signatures(texts: DataFrame, keys: list[str], text_col: str, samples: int = SAMPLES) -> DataFrame:
@@ -79,7 +81,7 @@ def signatures(texts: DataFrame, keys: list[str], text_col: str, samples: int =
     space, in lower case; a text without words has no row.
     """
     terms = texts.select(*keys, F.explode(_hashed_words(F.col(text_col))).alias("term"))
-    return _signed(terms.groupBy(*keys, "term").agg(F.count("*").alias("signature")), keys, ["signature"], samples).drop("value")
+    return _signed(terms.groupBy(*keys, "term").agg(F.count("*").alias("signature")), keys, ["signature"], samples)
 
 
 def likeness(a: str, b: str, samples: int = SAMPLES) -> Column:
@@ -88,27 +90,40 @@ def likeness(a: str, b: str, samples: int = SAMPLES) -> Column:
     return F.when((F.col(a) == "") | (F.col(b) == ""), (F.col(a) == F.col(b)).cast("double")).otherwise(same)
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(span, place, id, text, next_text): each row with the text of the next by descending id, after the last the first.
+def _before(spans: DataFrame, one_task: int = ONE_TASK_ROWS) -> DataFrame:
+    """(span, before): the next lower of distinct spans, for the lowest one the highest.
 
-    Rows are dealt by ranges of SPAN ids; at a range's end stands a row with a null
-    id, which has the first text of the next range. Only the ranges' first ids are
-    put in one order, a row for SPAN ids. Null texts are empty. Ties of the id are
-    in the order of their texts; null ids are a range after all others.
+    Up to one_task spans are put in one order; more are dealt into SPAN neighbouring
+    ones, and what is before their lowest is found among the parts in the same way
+    (one_task is 2 at least).
+    """
+    if spans.count() <= one_task:
+        order = Window.orderBy("span")
+        last = F.max("span").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        return spans.select("span", F.coalesce(F.lag("span").over(order), last).alias("before"))
+    own = cut(spans.withColumn("part", F.floor(F.col("span") / SPAN).cast("long")))
+    highest = own.groupBy("part").agg(F.max("span").alias("highest"))
+    parts = _before(highest.select(F.col("part").alias("span")), one_task).toDF("part", "lower")
+    edges = parts.join(highest.withColumnRenamed("part", "lower"), "lower").select("part", "highest")
+    near = F.lag("span").over(Window.partitionBy("part").orderBy("span"))
+    return own.withColumn("near", near).join(edges, "part").select("span", F.coalesce("near", "highest").alias("before"))
+
+
+def with_next(docs: DataFrame, id_col: str, text_col: str, one_task: int = ONE_TASK_ROWS) -> DataFrame:
+    """(span, place, end, id, text, next_text): each row with the text of the next by descending id, after the last the first.
+
+    Rows are dealt by ranges of SPAN ids; at a range's end stands a row with `end`,
+    which has the first text of the next range. Texts travel once, and a range's
+    first text once more. Null texts are empty. Ties of the id are in the order of
+    their texts; null ids are a range after all others. Rows of one id, and those of
+    null ids, are one range, however many there are.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     own = own.withColumn("span", F.coalesce(F.floor(F.col("id") / SPAN), F.lit(-(1 << 62))).cast("long"))
-    heads = own.groupBy("span").agg(F.max("id").alias("head"))
-    order = Window.orderBy(F.col("span").desc())
-    heads = heads.withColumn("before", F.lag("span").over(order)).withColumn("last", F.min("span").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    heads = heads.select("span", "head", F.coalesce("before", "last").alias("before"))
-    ranges = heads.count()
-    if ranges <= BROADCAST_ROWS:
-        heads = F.broadcast(heads)
-    firsts = own.join(heads.withColumnRenamed("span", "of"), (F.col("span") == F.col("of")) & F.col("id").eqNullSafe(F.col("head")))
-    firsts = firsts.groupBy("before").agg(F.min("text").alias("text"))
-    ends = firsts.select(F.lit(None).cast("long").alias("id"), "text", F.col("before").alias("span"), F.lit(True).alias("end"))
-    rows = own.withColumn("end", F.lit(False)).unionByName(ends).repartition(max(parallelism(docs.sparkSession), ranges // 2), "span")
+    firsts = cut(own.groupBy("span").agg(F.min(F.struct(F.expr("~id"), "text"))["text"].alias("text")))
+    follows = _before(firsts.select("span"), one_task).toDF("at", "span")
+    ends = firsts.join(follows, "span").select(F.lit(None).cast("long").alias("id"), "text", F.col("at").alias("span"), F.lit(True).alias("end"))
+    rows = own.withColumn("end", F.lit(False)).unionByName(ends).repartition(max(parallelism(docs.sparkSession), firsts.count() // 2), "span")
     within = Window.partitionBy("span").orderBy(F.col("end"), F.col("id").desc_nulls_last(), F.col("text"))
     return rows.select("span", "end", "id", "text", F.row_number().over(within).alias("place"), F.lead("text").over(within).alias("next_text"))
 
@@ -134,28 +149,19 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = with_next(docs, id_col, text_col)
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
-    rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))"), F.coalesce(F.substring("next_text", F.lit(1), third), F.lit(""))))
-    # a document's words and figures leave its texts behind together, so that these are dealt out once;
-    # a term of both texts is drawn for once
-    sha = F.sha2("edited", 256)
-    figures = [F.col("id"), F.col("n_chars"), *(F.conv(F.substring(sha, 8 * i + 1, 8), 16, 10).cast("long") for i in range(8))]
-    lists = [(0, 1, 0, _hashed_words(F.col("text"))), (0, 0, 1, _hashed_words(F.col("edited"))), *((1 + i, 0, 0, F.array(x)) for i, x in enumerate(figures))]
-    parts = F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(own).alias("own"), F.lit(other).alias("other"), terms.alias("terms")) for kind, own, other, terms in lists))
+    rows = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))"), F.coalesce(F.substring("next_text", F.lit(1), third), F.lit(""))))
+    # a document's words, and its figures beside one null word, leave its texts behind together, so
+    # that these are dealt out once; a term of both texts is drawn for once
+    sha, none = F.sha2("edited", 256), F.lit(None).cast("long")
+    words32 = [F.conv(F.substring(sha, 8 * i + 1, 8), 16, 10).cast("long") for i in range(8)]
+    figures = {"id": F.col("id"), "n_chars": n.cast("long")} | {f"sha_{i}": F.shiftleft(words32[2 * i], 32).bitwiseOR(words32[2 * i + 1]) for i in range(4)}
+    lists = [(1, 0, _hashed_words(F.col("text")), False), (0, 1, _hashed_words(F.col("edited")), False), (0, 0, F.array(none), True)]
+    parts = F.array(*(F.struct(F.lit(own).alias("own"), F.lit(other).alias("other"), *((v if has else none).alias(k) for k, v in figures.items()), terms.alias("terms")) for own, other, terms, has in lists))
     kept = F.when(F.col("end"), F.slice(parts, 1, 1)).otherwise(parts)
-    terms = rows.select("span", "place", F.explode(kept).alias("x")).select("span", "place", "x.kind", "x.own", "x.other", F.explode("x.terms").alias("term"))
-    counted = terms.groupBy("span", "place", "kind", "term").agg(F.sum("own").alias("own"), F.sum("other").alias("other"))
-    signed = _signed(counted, ["span", "place", "kind"], ["own", "other"], samples)
-
-    def of(kind: int, column: str) -> Column:
-        return F.max(F.when(F.col("kind") == kind, F.col(column)))
-
-    joined = signed.groupBy("span", "place").agg(
-        F.coalesce(of(0, "own"), F.lit("")).alias("own"),
-        F.coalesce(of(0, "other"), F.lit("")).alias("other"),
-        of(1, "value").alias("id"),
-        of(2, "value").alias("n_chars"),
-        F.concat(*(F.lpad(F.lower(F.hex(of(3 + i, "value"))), 8, "0") for i in range(8))).alias("edited_sha256"),
-    )
+    terms = rows.select("span", "place", F.explode(kept).alias("x")).select("span", "place", "x.own", "x.other", *(f"x.{k}" for k in figures), F.explode("x.terms").alias("term"))
+    counted = terms.groupBy("span", "place", "term").agg(F.sum("own").alias("own"), F.sum("other").alias("other"), *(F.max(k).alias(k) for k in figures))
+    signed = _signed(counted, ["span", "place"], ["own", "other"], samples, list(figures))
     following = F.coalesce(F.lead("own").over(Window.partitionBy("span").orderBy("place")), F.lit(""))
-    joined = joined.withColumn("following", following).filter("n_chars is not null")
-    return joined.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", F.col("own").alias("fingerprint"), F.col("other").alias("edited_fingerprint"), likeness("own", "other", samples).alias("near_edited"), likeness("own", "following", samples).alias("near_next"))
+    edited = F.concat(*(F.lpad(F.lower(F.hex(f"sha_{i}")), 16, "0") for i in range(4)))
+    joined = signed.withColumn("following", following).filter("n_chars is not null")
+    return joined.select(F.col("id").alias(id_col), "n_chars", edited.alias("edited_sha256"), F.col("own").alias("fingerprint"), F.col("other").alias("edited_fingerprint"), likeness("own", "other", samples).alias("near_edited"), likeness("own", "following", samples).alias("near_next"))

@@ -235,8 +235,10 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     tokenizer is the path of a tokenizer file whose tokenizer drops white space.
     ids has the piece's token ids as little-endian unsigned 32-bit numbers. Groups
-    hold about group_docs documents drawn by a hash of all they are, so their number
-    grows with the table and none grows with a source or a run of copies.
+    hold about group_docs documents drawn by a hash of the id and the row's place, so
+    their number grows with the table, and none grows with a source, a run of copies
+    or an id on many rows. Rows of files and checkpoints have fixed places, so that a
+    task that runs again deals as before.
 
     A null or empty text is the id eos alone. A repeated row is packed as often as
     it occurs; a null id is packed like any other. No row, no piece. Other columns
@@ -244,8 +246,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """
     groups = max(1, -(-docs.count() // group_docs))
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    dealt = own.withColumn("grp", F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id", F.lit(41))))
-    dealt = dealt.withColumn("grp", F.pmod("grp", F.lit(groups)).cast("long"))
+    place = F.xxhash64("id", F.monotonically_increasing_id())
+    dealt = own.withColumn("grp", F.pmod(place, F.lit(groups)).cast("long"))
     ids = dealt.mapInArrow(_encoder(tokenizer, eos), "id long, grp long, ids binary")
     out = ids.groupBy("grp").applyInArrow(_packer(capacity, tokenizer), "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)
