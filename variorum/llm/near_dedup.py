@@ -24,7 +24,7 @@ from variorum.runtime import cut
 _U = np.uint64
 _EMPTY = _U(0xFFFFFFFFFFFFFFFF)
 _LOW = _U(0xFFFFFFFF)
-BLOCK_MEMBERS = 512
+BLOCK_MEMBERS = 256
 #: a class of more than one in so many rows is a hot one
 HOT_CLASSES = 1000
 #: as many bits, by a power of two, mark the ids whose sets are looked for
