@@ -119,3 +119,15 @@ def test_json_of_other_rows(spark):
     assert json.loads(exports.edition_alignment_json(two).first().json) == {"edition_a": {"start": 5, "end": 9, "pages": [2]}, "edition_b": {"start": 0, "end": 4, "pages": [1]}, "confidence": 0.5}
     x = exports.union_of_candidates(al.select("book_id", "pg_start"), gaps.select("book_id", "page"))
     assert x.count() == 4 and set(x.columns) == {"book_id", "pg_start", "page"}
+
+
+def test_reports_are_read_back(spark):
+    errors, books = queries.queries_pages._judged(spark, DATA)
+    back = exports.errors_of(exports.report_json(errors, books)).collect()
+    kept = sorted((e.book_id, e.seq, e.pg_text, e.scan_text, e.verdict, e.confidence, e.category) for e in errors.filter("category <> 'alignment_artifact'").collect())
+    assert sorted((r.book_id, r.seq, r.pg_text) for r in back) == sorted((b, n, t) for b in range(10) for n, t in enumerate(x[2] for x in kept if x[0] == b))
+    assert Counter((r.book_id, r.verdict, r.confidence, r.category) for r in back) == Counter((x[0], *x[4:]) for x in kept)
+    odd = spark.createDataFrame([(1, "no"), (2, None), (3, "{}"), (4, '{"errors": [{"pg_text": "a"}]}')], "book_id long, json string")
+    assert [(r.book_id, r.pg_text, r.scan_text, r.category, r.confidence) for r in exports.errors_of(odd).collect()] == [(4, "a", "", "ocr_scanno", 0.0)]
+    places = spark.createDataFrame([(0, 10, 4, "https://archive.org/details/abc_1/x"), (9, 10, 4, ""), (10, 10, 4, None), (3, 0, 4, "x"), (3, 9, 0, "x")], "o long, n long, p long, u string")
+    assert [tuple(r) for r in places.select(exports.page_at(F.col("o"), F.col("n"), F.col("p")), exports.scan_of(F.col("u"))).collect()] == [(0, "abc_1"), (3, None), (3, None), (0, None), (0, None)]

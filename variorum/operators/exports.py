@@ -251,3 +251,29 @@ def union_of_candidates(*parts: DataFrame) -> DataFrame:
         out = out.unionByName(more, allowMissingColumns=True)
     return out
 
+
+# fixed values: what a report's errors have where they say nothing
+DEFAULTS = {"category": "ocr_scanno", "severity": "high", "verdict": "unable_to_verify", "confidence": 0.0, "pg_file_line": 0, "scan_page": 0, "pg_offset": 0}
+NUMBERS = {"confidence": "double", "pg_file_line": "long", "scan_page": "long", "pg_offset": "long"}
+
+
+def errors_of(reports: DataFrame) -> DataFrame:
+    """(book_id, seq, an error's columns) of reports (book_id, json), as report_json writes them, in their order.
+
+    Reports that aren't JSON, or have no errors, give no row; missing fields have
+    their defaults, texts the empty one.
+    """
+    schema = "struct<errors:array<struct<" + ",".join(f"{c}:{NUMBERS.get(c, 'string')}" for c in ERROR) + ">>>"
+    own = reports.select("book_id", F.posexplode(F.from_json("json", schema)["errors"]).alias("seq", "e"))
+    return own.select("book_id", F.col("seq").cast("long").alias("seq"), *(F.coalesce(F.col(f"e.{c}"), F.lit(DEFAULTS.get(c, "")).cast(NUMBERS.get(c, "string"))).alias(c) for c in ERROR))
+
+
+def scan_of(source: Column) -> Column:
+    """The scan's name in its address; null without one."""
+    return F.nullif(F.regexp_extract(source, r"archive\.org/details/([a-zA-Z0-9_-]+)", 1), F.lit(""))
+
+
+def page_at(offset: Column, size: Column, pages: Column) -> Column:
+    """About which page a place in the stitched text is on, by its share of the text; 0 for no text or pages."""
+    place = F.floor(offset / size * pages)
+    return F.when((size == 0) | (pages == 0), 0).otherwise(F.greatest(F.lit(0), F.least(place, pages - 1))).cast("long")
