@@ -56,22 +56,23 @@ def _hashed_words(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _signed(counted: DataFrame, keys: list[str], weights: list[str], samples: int, carried: list[str] | None = None) -> DataFrame:
-    """(keys, a signature named after each weight, carried) of (keys, term, weights, carried).
+def _signed(counted: DataFrame, keys: list[str], weights: list[str], samples: int, figures: list[str] | None = None) -> DataFrame:
+    """(keys, a signature named after each weight, figures) of (keys, term, weights).
 
-    A signature has 4 hex digits per sample and is empty without weight; of a carried
-    column the greatest value stays.
+    A signature has 4 hex digits per sample and is empty without weight. With figures
+    there is a column kind, 0 for terms; a row of kind k has no weight, and the value
+    of the k-th figure for its term.
     """
     logs = [F.when(F.col(w) > 0, F.log(F.col(w).cast("double"))).otherwise(ABSENT).alias(f"ln_{w}") for w in weights]
     found = _samples("term", [f"ln_{w}" for w in weights], samples)
     least = [F.min(x).alias(f"{w}_{k}") for w, own in zip(weights, found, strict=True) for k, x in enumerate(own)]
-    most = [F.max(c).alias(c) for c in [*weights, *(carried or [])]]
-    least = counted.select("*", *logs).groupBy(*keys).agg(*most, *least)
+    told = [F.max(F.when(F.col("kind") == k, F.col("term"))).alias(c) for k, c in enumerate(figures or [], 1)]
+    least = counted.select("*", *logs).groupBy(*keys).agg(*told, *(F.max(w).alias(w) for w in weights), *least)
 
     def signature(w: str) -> Column:
         return F.when(F.col(w) > 0, F.concat(*(F.lpad(F.lower(F.hex(F.col(f"{w}_{k}").bitwiseAND(0xFFFF))), 4, "0") for k in range(samples)))).otherwise("")
 
-    return least.select(*keys, *(signature(w).alias(w) for w in weights), *(carried or []))
+    return least.select(*keys, *(signature(w).alias(w) for w in weights), *(figures or []))
 
 
 def signatures(texts: DataFrame, keys: list[str], text_col: str, samples: int = SAMPLES) -> DataFrame:
@@ -150,16 +151,16 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))"), F.coalesce(F.substring("next_text", F.lit(1), third), F.lit(""))))
-    # a document's words, and its figures beside one null word, leave its texts behind together, so
-    # that these are dealt out once; a term of both texts is drawn for once
-    sha, none = F.sha2("edited", 256), F.lit(None).cast("long")
+    # a document's words and its figures leave its texts behind together, so that these
+    # are dealt out once; a term of both texts is drawn for once
+    sha = F.sha2("edited", 256)
     words32 = [F.conv(F.substring(sha, 8 * i + 1, 8), 16, 10).cast("long") for i in range(8)]
     figures = {"id": F.col("id"), "n_chars": n.cast("long")} | {f"sha_{i}": F.shiftleft(words32[2 * i], 32).bitwiseOR(words32[2 * i + 1]) for i in range(4)}
-    lists = [(1, 0, _hashed_words(F.col("text")), False), (0, 1, _hashed_words(F.col("edited")), False), (0, 0, F.array(none), True)]
-    parts = F.array(*(F.struct(F.lit(own).alias("own"), F.lit(other).alias("other"), *((v if has else none).alias(k) for k, v in figures.items()), terms.alias("terms")) for own, other, terms, has in lists))
+    lists = [(0, 1, 0, _hashed_words(F.col("text"))), (0, 0, 1, _hashed_words(F.col("edited"))), *((k, 0, 0, F.array(v)) for k, v in enumerate(figures.values(), 1))]
+    parts = F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(own).alias("own"), F.lit(other).alias("other"), terms.alias("terms")) for kind, own, other, terms in lists))
     kept = F.when(F.col("end"), F.slice(parts, 1, 1)).otherwise(parts)
-    terms = rows.select("span", "place", F.explode(kept).alias("x")).select("span", "place", "x.own", "x.other", *(f"x.{k}" for k in figures), F.explode("x.terms").alias("term"))
-    counted = terms.groupBy("span", "place", "term").agg(F.sum("own").alias("own"), F.sum("other").alias("other"), *(F.max(k).alias(k) for k in figures))
+    terms = rows.select("span", "place", F.explode(kept).alias("x")).select("span", "place", "x.kind", "x.own", "x.other", F.explode("x.terms").alias("term"))
+    counted = terms.groupBy("span", "place", "kind", "term").agg(F.sum("own").alias("own"), F.sum("other").alias("other"))
     signed = _signed(counted, ["span", "place"], ["own", "other"], samples, list(figures))
     following = F.coalesce(F.lead("own").over(Window.partitionBy("span").orderBy("place")), F.lit(""))
     edited = F.concat(*(F.lpad(F.lower(F.hex(f"sha_{i}")), 16, "0") for i in range(4)))
