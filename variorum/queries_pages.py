@@ -697,7 +697,7 @@ def comparison_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("edition_info", f"""WITH t AS (SELECT page_id, html, substring(html, greatest(strpos(html, '{exports.START}'), 1)::INT, {exports.BODY}) AS body FROM pages) SELECT page_id, coalesce({", ".join(f"nullif(trim(regexp_extract(body, '(?i){p}', 1)), '')" for p in exports.YEARS)}) AS year,
-    coalesce({", ".join(f"nullif(trim(regexp_extract(left(body, {exports.FRONT}), '{p}', 1)), '')" for p in exports.PUBLISHERS)}) AS publisher, nullif(left(trim(regexp_extract(left(html, {exports.HEAD}), 'Produced by\s+(.+?)(?:\n|$)', 1)), 200), '') AS transcriber_notes FROM t""")
+    coalesce({", ".join(f"nullif(trim(regexp_extract(left(body, {exports.FRONT}), '{p}', 1)), '')" for p in exports.PUBLISHERS)}) AS publisher, nullif(left(trim(regexp_extract(left(html, {exports.HEAD}), 'Produced by\\s+(.+?)(?:\\n|$)', 1)), 200), '') AS transcriber_notes FROM t""")
 def edition_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F61 over page sources as books."""
     return table(spark, sf_dir, "pages").select("page_id", exports.edition_info(F.col("html")).alias("i")).select("page_id", "i.year", "i.publisher", "i.transcriber_notes")
