@@ -79,18 +79,30 @@ def place_pages(pages: DataFrame, books: DataFrame, book: str = "conv_id", page:
 
 def body_start(text: Column) -> Column:
     """The offset of the first prose paragraph after the first chapter heading, among the next 50 paragraphs; 0 for none."""
-    paras = F.filter(F.transform(F.split(text, "\n\n"), lambda p: F.trim(p, F.lit(" \n\t\r"))), lambda p: p != "")
-    noise = lambda p: p.rlike(r"[{}]|margin-|font-")
+    once = lambda value, then: F.transform(F.array(value), then)[0]  # noqa: E731  a value named and computed once a row, which optimised plans would repeat at each use
     heading = lambda p: p.rlike(r"(?i)^(CHAPTER|PART|Book|Section|ACT|I+\.\s+)")
-    ends = lambda p: F.regexp_count(p, F.lit(r"[.!?]\s+[A-Z\"]"))
     lines = lambda p: F.filter(F.split(p, "\n"), lambda x: F.trim(x) != "")
-    prose = lambda p: (F.length(p) >= 150) & ~F.forall(lines(p), lambda x: F.length(x) < 100) & (ends(p) >= 3)
-    marked = F.transform(paras, lambda p, i: F.struct(i.alias("i"), F.length(p).alias("n"), (heading(p) & ~noise(p)).alias("head"), (prose(p) & ~noise(p)).alias("prose"), (~noise(p) & (F.length(p) > 500) & (ends(p) >= 5)).alias("long")))
-    first = F.coalesce(F.array_min(F.transform(F.filter(marked, lambda x: x["head"]), lambda x: x["i"])), F.lit(0))
-    near = F.array_min(F.transform(F.filter(marked, lambda x: x["prose"] & (x["i"] >= first) & (x["i"] < first + 50)), lambda x: x["i"]))
-    far = F.array_min(F.transform(F.filter(marked, lambda x: x["long"]), lambda x: x["i"]))
-    found = F.coalesce(near, far)
-    return F.when(found.isNull(), 0).otherwise(F.aggregate(F.slice(marked, F.lit(1), found), F.lit(0), lambda s, x: s + x["n"] + 2))
+    prose = lambda p, n, ends: (n >= 150) & (ends >= 3) & ~F.forall(lines(p), lambda x: F.length(x) < 100)
+
+    def mark(p: Column, i: Column) -> Column:
+        n = F.length(p)
+        # nothing below 150 characters is prose, so that its sentences aren't counted
+        ends = F.when(n >= 150, F.regexp_count(p, F.lit(r"[.!?]\s+[A-Z\"]"))).otherwise(0)
+        told = lambda x: F.struct(i.alias("i"), n.alias("n"), (heading(p) & ~x["noise"]).alias("head"), (~x["noise"] & prose(p, n, x["ends"])).alias("prose"), (~x["noise"] & (n > 500) & (x["ends"] >= 5)).alias("long"))
+        return once(F.struct(p.rlike(r"[{}]|margin-|font-").alias("noise"), ends.alias("ends")), told)
+
+    def offset(marked: Column) -> Column:
+        least = lambda kept: F.array_min(F.transform(F.filter(marked, kept), lambda x: x["i"]))
+
+        def from_first(first: Column) -> Column:
+            near = least(lambda x: x["prose"] & (x["i"] >= first) & (x["i"] < first + 50))
+            return once(F.coalesce(near, least(lambda x: x["long"])), lambda found: F.when(found.isNull(), 0).otherwise(F.aggregate(F.slice(marked, F.lit(1), found), F.lit(0), lambda s, x: s + x["n"] + 2)))
+
+        return once(F.coalesce(least(lambda x: x["head"]), F.lit(0)), from_first)
+
+    paras = F.filter(F.transform(F.split(text, "\n\n"), lambda p: F.trim(p, F.lit(" \n\t\r"))), lambda p: p != "")
+    # a null text has no paragraphs
+    return once(F.coalesce(paras, F.array().cast("array<string>")), lambda p: once(F.transform(p, mark), offset))
 
 
 def correct(alignments: DataFrame, offsets: DataFrame, book: str = "book_id") -> DataFrame:
