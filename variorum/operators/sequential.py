@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from variorum.operators import anchors
+from variorum.runtime import dealt
 from variorum.streaming import tracker
 
 # fixed values: least scores of the passes, pages between fresh looks, the margin and reach of a repair, its rounds
@@ -80,6 +81,30 @@ def regressed(score: float, seen: list[float]) -> bool:
     return len(seen) >= ENOUGH and mean > 0 and (mean - score) / mean > FALL + 1e-9
 
 
+class Copies:
+    """Placed pages, of which another may be a copy; likeness is computed where lengths and letters don't rule it out."""
+
+    def __init__(self) -> None:
+        self.pages: dict[str, Counter[str]] = {}
+
+    def add(self, page: str) -> None:
+        if page not in self.pages:
+            self.pages[page] = Counter(page)
+
+    def holds(self, page: str) -> bool:
+        own = None
+        for other, letters in self.pages.items():
+            both = len(page) + len(other)
+            if both and 2.0 * min(len(page), len(other)) / both <= COPY:
+                continue
+            own = Counter(page) if own is None else own
+            if both and 2.0 * sum(min(n, letters[c]) for c, n in own.items() if c in letters) / both <= COPY:
+                continue
+            if SequenceMatcher(None, page, other).ratio() > COPY:
+                return True
+        return False
+
+
 class Book:
     """A book's words, read once, in which pages are looked for within windows."""
 
@@ -120,7 +145,7 @@ def place(text: str, pages: list[tuple[int, str]], chapters: list[tuple[str, int
     characters are skipped. Last, pages without a place are looked for between their
     neighbours, up to five rounds.
     """
-    book, placed, seen, scores = Book(text), {}, [], []
+    book, placed, copies, seen, scores = Book(text), {}, Copies(), [], []
     texts = dict(pages)
     real = [c for c in chapters if c[2] - c[1] > LEAST_CHAPTER] or list(chapters)
     current = next((k for k, c in enumerate(real) if c[1] >= body), len(real) - 1)
@@ -132,6 +157,7 @@ def place(text: str, pages: list[tuple[int, str]], chapters: list[tuple[str, int
     def note(page: int, found: tuple[int, int, float], how: str) -> None:
         nonlocal current
         placed[page] = (*found, how)
+        copies.add(texts[page])
         seen[:] = tracker.advance(seen, page, found[1], tracker.CONFIRMED)
         scores[:] = [*scores, found[2]][-MEMORY:]
         current = next((k for k, c in enumerate(real) if c[1] <= found[0] < c[2]), current)
@@ -146,7 +172,7 @@ def place(text: str, pages: list[tuple[int, str]], chapters: list[tuple[str, int
             found = book.find(words, body, len(text), NEAR_BY)
             if found and far(found, page):
                 seen[:] = [(page - 1, found[0])]
-        if any(SequenceMatcher(None, words, texts[p]).quick_ratio() > COPY and SequenceMatcher(None, words, texts[p]).ratio() > COPY for p in placed):
+        if copies.holds(words):
             skipped.add(page)
             continue
         named = chapter_named(heading(words), [c[0] for c in real], current) if real else None
@@ -213,4 +239,4 @@ def align_in_order(pages: DataFrame, books: DataFrame, chapters: DataFrame | Non
         found = place(base["book_text"].iloc[0], rows, named, int(base["body"].iloc[0]))
         return pd.DataFrame([(own[book].iloc[0], p, *x) for p, x in sorted(found.items())], columns=columns)
 
-    return own.groupBy(book).cogroup(heads.groupBy("__book")).applyInPandas(fold, f"{book} long, scan_page long, pg_start long, pg_end long, confidence double, found_by string")
+    return dealt(own, book).groupBy(book).cogroup(dealt(heads, "__book").groupBy("__book")).applyInPandas(fold, f"{book} long, scan_page long, pg_start long, pg_end long, confidence double, found_by string")
