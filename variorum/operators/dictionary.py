@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from variorum.functions import lexicon
+from variorum.runtime import cut
 
 
 def fold(c: Column, form: str = "NFD") -> Column:
@@ -36,10 +37,10 @@ def diacritic_change(a: Column, b: Column) -> Column:
 def in_dictionary(words: DataFrame, dictionary: DataFrame, word: str = "word") -> DataFrame:
     """Words with in_dictionary; dictionary has entries (entry), lower case without accents.
 
-    The forms of the distinct words meet the entries in one join. A hyphenated word
-    needs all of its parts. Null and blank words are in no dictionary.
+    The forms of the distinct words, which are found once, meet the entries in one
+    join. A hyphenated word needs all of its parts. Null and blank words are in no dictionary.
     """
-    own = words.select(word).distinct().filter(F.trim(word) != "").withColumn("__w", fold(F.trim(F.lower(F.col(word)))))
+    own = cut(words.select(word).distinct().filter(F.trim(word) != "")).withColumn("__w", fold(F.trim(F.lower(F.col(word)))))
     whole = own.select(word, F.lit(0).alias("part"), F.explode(lexicon.stems(F.col("__w"))).alias("entry"))
     parts = own.filter(F.col("__w").contains("-")).select(word, F.posexplode(F.filter(F.split("__w", "-"), lambda x: x != "")).alias("part", "entry")).withColumn("part", F.col("part") + 1)
     wanted = own.select(word, F.size(F.filter(F.split("__w", "-"), lambda x: x != "")).alias("n"))
