@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from variorum.functions.lexicon import COMMON_WORDS
+from variorum.runtime import dealt
 
 # fixed values of the placement: window scales, least window and score, what a step back may be
 SCALES, LEAST_WINDOW, LEAST_SCORE, STEP_BACK = (0.7, 0.85, 1.0, 1.15), 200, 0.35, 200
@@ -151,7 +152,7 @@ def global_align(pages: DataFrame, books: DataFrame, book: str = "conv_id", page
         out = windows(full, texts, place_monotonic(candidates))
         return pd.DataFrame([(own[book].iloc[0], *x) for x in out], columns=[book, "scan_page", "pg_start", "pg_end", "confidence"])
 
-    return rows.groupBy(book).cogroup(bases.groupBy(book)).applyInPandas(fold, f"{book} long, scan_page long, pg_start long, pg_end long, confidence double")
+    return dealt(rows, book).groupBy(book).cogroup(dealt(bases, book).groupBy(book)).applyInPandas(fold, f"{book} long, scan_page long, pg_start long, pg_end long, confidence double")
 
 
 # --- sentence LCS
