@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from variorum.functions import text as T
 from variorum.operators import align, diff, gaps, pages, report, rules, score, stitched
+from variorum.runtime import dealt
 
 
 @dataclass
@@ -52,7 +53,9 @@ def run(books: DataFrame, own: DataFrame, mode: str = "recursive", strict: bool
         told = told.withColumn("seq", F.row_number().over(order) - 1).drop("a_norm", "page_norm", "whole", "segment_id", "pg_offset_ref")
     else:
         found = diff.candidates(diff.hunks(pairs, ["book_id", "scan_page"], "passage", "page_text", mode))
-        told = found.join(pairs, ["book_id", "scan_page"]).withColumn("norm", T.normalize_for_diff(F.col("passage")))
+        # the rules and scores that follow take long over few bytes
+        keys = ("book_id", "scan_page")
+        told = dealt(found, *keys).join(dealt(pairs, *keys), list(keys)).withColumn("norm", T.normalize_for_diff(F.col("passage")))
     before = F.length(F.array_join(F.slice(F.split("norm", " "), F.lit(1), F.col("i1")), " ")) + F.when(F.col("i1") > 0, 1).otherwise(0)
     told = told.withColumns({"in_passage": before, "pg_offset_ref": F.col("pg_start") + F.col("i1"), "pg_offset": F.col("pg_start") + before})
     kept = rules.mark_artifacts(rules.apply_rules(told, strict))
